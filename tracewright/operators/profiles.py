@@ -17,6 +17,7 @@ from tracewright.functions.text import norm_token, norm_url_path
 from tracewright.operators.sequences import bounded_sequence, ordered_distinct
 from tracewright.operators.timeline import as_list, exact_quantiles, value_bucket
 from tracewright.operators.segments import ranked_ids
+from tracewright.session import cut_lineage
 
 SEGMENT_COUNTS = {"clipboard_count": "clipboard", "keyboard_count": "keyboard", "form_count": "browser_form",
                   "browser_click_count": "browser_click", "mouse_click_count": "mouse_click",
@@ -52,10 +53,12 @@ def segment_profile(assigned: DataFrame, key, ts: str, event_id: str, chunk: int
     """Behaviour of each segment from its assigned events.
 
     Counts and sets come from one aggregate; the ordered parts (first paths, head and tail
-    of the application sequence) are limited before they are gathered.
+    of the application sequence) are limited before they are gathered.  The assigned events
+    are written once, narrowed to what is used, because several parts read them.
     """
     key = as_list(key)
-    rows = assigned.withColumn("_page", F.when(F.col("path") != "", page_of("path")))
+    rows = cut_lineage(assigned.select(*key, ts, event_id, start, end, "event_type", "app", "path")
+                       .withColumn("_page", F.when(F.col("path") != "", page_of("path"))))
     base = rows.groupBy(*key).agg(
         F.min(start).alias(start), F.min(end).alias(end), F.count(F.lit(1)).alias("event_count"),
         *[count_class("event_type", c).alias(n) for n, c in SEGMENT_COUNTS.items()],

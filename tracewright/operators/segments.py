@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.timeline import (as_list, floor_div, islands, rank_in_buckets, with_next,
                                             with_previous)
+from tracewright.session import cut_lineage
 
 
 def event_order(events: DataFrame, key, ts: str, seq: str, chunk: int, name: str = "position") -> DataFrame:
@@ -48,8 +49,8 @@ def segments_from_boundaries(bounds: DataFrame, sessions: DataFrame, key, ts: st
              .filter((F.col(ts) > F.col("session_start")) & (F.col(ts) < F.col("session_end"))).select(*key, ts))
     ends = sessions.select(*key, F.explode(F.array("session_start", "session_end")).alias(ts))
     points = inner.unionByName(ends).distinct()
-    cut = (with_next(points, key, ts, {"segment_end": ts}, chunk)
-           .filter(F.col("segment_end") > F.col(ts)).withColumnRenamed(ts, "segment_start"))
+    cut = cut_lineage(with_next(cut_lineage(points), key, ts, {"segment_end": ts}, chunk)
+                      .filter(F.col("segment_end") > F.col(ts)).withColumnRenamed(ts, "segment_start"))
     return with_index(cut, key, "segment_start", chunk, first_index, name="segment_index")
 
 

@@ -56,7 +56,7 @@ def bounded_sequence(df: DataFrame, key, ts: str, value: str, chunk: int, limit:
     Only the kept items are ever gathered, so the length of a segment does not matter.
     """
     key = as_list(key)
-    seq = collapse(df, key, ts, value, chunk, tie)
+    seq = cut_lineage(collapse(df.select(*key, ts, value, *tie), key, ts, value, chunk, tie))
     pos = rank_in_buckets(seq, key, floor_div(F.col(ts), chunk), [F.col(c) for c in (ts, *tie)], "_i")
     total = seq.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     left, right = limit // 2, limit - limit // 2
