@@ -29,7 +29,12 @@ STEP, WINDOW, GAP, TOL = 6 * HOUR, 18 * HOUR, 6 * HOUR, 12 * HOUR
 class Entry:
     name: str
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    select: str | None
+    ctes: str
+
+    @property
+    def sql(self) -> str | None:
+        return None if self.select is None else with_ctes(self.ctes) + self.select
 
 
 REGISTRY: dict[str, Entry] = {}
@@ -74,9 +79,8 @@ def query(name: str, spec: str, sql: str | None = None, ctes: str = ""):
 
         text = None
         if sql is not None:
-            needed = with_ctes(ctes)
-            text = f"{needed}SELECT {', '.join(_sql_col(n, k) for n, k in cols)} FROM ({sql}) AS _q"
-        REGISTRY[name] = Entry(name, run, text)
+            text = f"SELECT {', '.join(_sql_col(n, k) for n, k in cols)} FROM ({sql}) AS _q"
+        REGISTRY[name] = Entry(name, run, text, ctes)
         return fn
 
     return register

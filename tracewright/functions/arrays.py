@@ -17,8 +17,8 @@ def collapse(arr) -> Column:
     shifted = F.concat(F.array(F.lit(None).cast("string")), a)
     pairs = F.arrays_zip(a.alias("v"), shifted.alias("p"))
     # the shifted copy is one longer, so the last zipped entry carries no value
-    kept = F.filter(pairs, lambda z: z["0"].isNotNull() & ~z["0"].eqNullSafe(z["1"]))
-    return F.transform(kept, lambda z: z["0"])
+    kept = F.filter(pairs, lambda z: z["v"].isNotNull() & ~z["v"].eqNullSafe(z["p"]))
+    return F.transform(kept, lambda z: z["v"])
 
 
 def truncate_seq(arr, n: int) -> Column:

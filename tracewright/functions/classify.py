@@ -18,7 +18,7 @@ def norm_app(c, mode: str = "keyword") -> Column:
     low = F.lower(text)
     if mode == "keyword":
         cases = [(low == "", "UNKNOWN_APP")]
-        cases += [(contains_any(low, words), name) for words, name in vocab.APP_KEYWORDS]
+        cases += [(F.rlike(low, F.lit("|".join(words))), name) for words, name in vocab.APP_KEYWORDS]
         return first_match(cases, text)
     if mode == "exact":
         return lookup(low, vocab.APP_EXACT, default=text)
@@ -95,16 +95,13 @@ def action_class(event_type, app, routes=None, documents=None, dom=None) -> Colu
     """Observable action class of an event."""
     et = F.lower(F.coalesce(col(event_type), F.lit("")))
     a = norm_app(app)
-
-    def given(c):
-        return F.lit(False) if c is None else blank_to_null(c).isNotNull()
-
-    cases = [(et == t, name) for t, name in vocab.ACTION_BY_TYPE.items()]
-    cases += [((et == "keystroke") & (a == k), v) for k, v in vocab.KEYSTROKE_BY_APP.items()]
-    cases += [(et == "keystroke", "TYPE"), (given(routes), "BROWSER_CONTEXT"),
-              (given(documents), "DOCUMENT_CONTEXT"), (given(dom), "UI_CONTEXT"),
-              (a.isin("Browser", "Word", "Excel", "Notepad"), F.concat(F.lit("WORK_"), F.upper(a)))]
-    return first_match(cases, "OTHER_EVENT")
+    context = [(blank_to_null(c).isNotNull(), name) for c, name in (
+        (routes, "BROWSER_CONTEXT"), (documents, "DOCUMENT_CONTEXT"), (dom, "UI_CONTEXT")) if c is not None]
+    work = [(a.isin("Browser", "Word", "Excel", "Notepad"), F.concat(F.lit("WORK_"), F.upper(a)))]
+    other = first_match([(et == "keystroke", lookup(a, vocab.KEYSTROKE_BY_APP, F.lit("TYPE"))), *context, *work],
+                        "OTHER_EVENT")
+    # one map probe instead of a branch per type keeps the generated code small
+    return lookup(et, vocab.ACTION_BY_TYPE, other)
 
 
 def action_family(action) -> Column:

@@ -143,7 +143,7 @@ def parse_list(c, fmt: str = "pipe") -> Column:
     """
     text = F.trim(F.coalesce(col(c), F.lit("")))
     if fmt == "pipe":
-        return F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     if fmt == "literal":
         items = F.regexp_extract_all(text, F.lit(r"'([^']*)'|\"([^\"]*)\""), F.lit(0))
         inner = F.transform(items, lambda x: F.trim(F.substring(x, F.lit(2), F.length(x) - 2)))
@@ -151,7 +151,7 @@ def parse_list(c, fmt: str = "pipe") -> Column:
     if fmt == "keys":
         return F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
     if fmt == "counter":
-        items = F.filter(F.transform(F.split(text, r"\|"), F.trim),
+        items = F.filter(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)),
                          lambda x: F.rlike(x, F.lit(r"^.+?=\d+$")))
         pairs = F.transform(items, lambda x: F.struct(
             F.trim(F.regexp_extract(x, r"^(.+?)=(\d+)$", 1)).alias("k"),
@@ -170,7 +170,7 @@ def has_script(c, ranges: str = vocab.JAPANESE) -> Column:
 
 def script_lines(c, ranges: str = vocab.JAPANESE) -> Column:
     """Trimmed lines holding a character of the given ranges, in order."""
-    lines = F.transform(F.split(F.coalesce(col(c), F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(col(c), F.lit("")), "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: F.rlike(x, F.lit(ranges)))
 
 
@@ -214,7 +214,7 @@ def concrete_tokens(c) -> Column:
     """Distinct dates, amounts and case identifiers, lower-cased."""
     text = F.trim(F.coalesce(col(c), F.lit("")))
     found = F.concat(*[F.regexp_extract_all(text, F.lit(s), F.lit(0)) for s in CONCRETE_SHAPES])
-    return F.array_distinct(F.transform(found, F.lower))
+    return F.array_distinct(F.transform(found, lambda x: F.lower(x)))
 
 
 def set_jaccard(a, b) -> Column:
