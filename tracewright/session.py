@@ -36,15 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     On a cluster the setting must name storage every executor can reach, so a
     missing value is an error there; only a local session gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
         if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to storage shared by all executors")
-        configured = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        folder = tempfile.mkdtemp(prefix="tracewright-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tracewright.functions.columns import blank_to_null, event_time, first_nonblank
 from tracewright.operators.relations import CheckFailed
+from tracewright.operators.timeline import rank_in_buckets
 
 _TAB = "struct<url:string,href:string>"
 EVENT_SCHEMA = (
@@ -83,12 +84,16 @@ def read_gt_boundaries(spark: SparkSession, root: str, events: Sequence[str] = (
 
 
 def numbered_lines(spark: SparkSession, root: str, file_name: str = "*.jsonl") -> DataFrame:
-    """Lines with their number in the file, for provenance only (S06): each file is one record."""
-    whole = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
-             .option("wholetext", True).text(root).withColumn("source_file", F.col("_metadata.file_path")))
-    lines = F.posexplode(F.split("value", "\r?\n"))
-    return (whole.select("source_file", lines.alias("_p", "line")).filter(F.trim("line") != "")
-            .select("source_file", (F.col("_p") + 1).alias("source_line"), "line"))
+    """Non-blank lines with their number in the file (S06), for provenance.
+
+    Lines are numbered inside a file block, in reading order, and shifted by the lines of the
+    blocks before it, so a file may be of any size.
+    """
+    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(root)
+           .select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.col("value").alias("line"), F.monotonically_increasing_id().alias("_seen")))
+    numbered = rank_in_buckets(raw, "source_file", F.col("_block"), [F.col("_seen")], "source_line")
+    return numbered.filter(F.trim("line") != "").select("source_file", "source_line", "line")
 
 
 def read_table(spark: SparkSession, path: str, required: Mapping[str, str]) -> DataFrame:
