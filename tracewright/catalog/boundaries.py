@@ -184,9 +184,9 @@ def _pred(t: Tables):
 
 
 # the sequential rule itself, one prediction of every session per step
-def greedy_sql(tol: int) -> str:
+def greedy_sql(tol: int, src: str = "prd") -> str:
     return f"""SELECT session_id, pred_id, gt_id, pred_ts, gt_ts, abs(pred_ts-gt_ts) AS error FROM (
- WITH RECURSIVE p AS (SELECT session_id, predicted_ts, row_number() OVER (PARTITION BY session_id ORDER BY predicted_ts) AS i FROM prd),
+ WITH RECURSIVE p AS (SELECT session_id, predicted_ts, row_number() OVER (PARTITION BY session_id ORDER BY predicted_ts) AS i FROM {src}),
  g AS (SELECT session_id, us, event_id FROM ev WHERE event_type='app_switch'),
  walk(session_id, i, used, pred_id, gt_id, pred_ts, gt_ts) AS (
   SELECT DISTINCT session_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM p
@@ -277,7 +277,13 @@ def _sweep(t: Tables):
     return ev.sweep_merge(points, _gt(t), "session_id", "us", "score", "gt_id", _GAPS, [TOL // 2, TOL], CHUNK)
 
 
-@query("A25_sweep_merge_metrics", "gap:i tolerance:i tp:i precision:d recall:d f1:d mean_error:d3")
+_runs = " UNION ALL ".join(f"SELECT {g} AS gap, {tol} AS tolerance, error FROM ({greedy_sql(tol, f'(SELECT * FROM prdg WHERE gap={g})')})"
+                           for g in _GAPS for tol in (TOL // 2, TOL))
+
+
+@query("A25_sweep_merge_metrics", "gap:i tolerance:i tp:i precision:d recall:d f1:d mean_error:d3",
+       f"""SELECT gap, tolerance, tp, tp/predicted AS precision, tp/truth AS recall, 2.0*tp/(predicted+truth) AS f1, mean_error FROM (SELECT gap, tolerance, count(*) AS tp, avg(error) AS mean_error FROM ({_runs}) GROUP BY 1,2)
+  JOIN (SELECT gap, count(*) AS predicted FROM prdg GROUP BY 1) USING (gap), (SELECT count(*) AS truth FROM ev WHERE event_type='app_switch')""", "prdg")
 def _(t):
     return _sweep(t)
 
