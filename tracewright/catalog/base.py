@@ -87,10 +87,11 @@ def query(name: str, spec: str, sql: str | None = None, ctes: str = ""):
 
 
 class Tables:
-    """The driver tables and the desktop-log view of them, read lazily."""
+    """The driver tables and the desktop-log view of them; one object serves one query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self._made: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def read(self, name: str) -> DataFrame:
@@ -122,7 +123,9 @@ class Tables:
         return self.events.filter(F.col("event_type") == event_type).select("session_id", "us", "event_id")
 
     def segments(self, event_type: str = "app_switch") -> DataFrame:
-        return segments_from_boundaries(self.points(event_type), self.sessions, "session_id", "us", CHUNK)
+        if event_type not in self._made:
+            self._made[event_type] = segments_from_boundaries(self.points(event_type), self.sessions, "session_id", "us", CHUNK)
+        return self._made[event_type]
 
     def assigned(self) -> DataFrame:
         return assign_events(self.events, self.segments(), "session_id", "us", "event_id", "segment_index",
@@ -130,8 +133,10 @@ class Tables:
 
     def profile(self) -> DataFrame:
         """Segment profiles with durations in hours standing for seconds."""
-        return segment_profile(self.assigned(), ["session_id", "segment_index"], "us", "event_id", CHUNK,
-                               unit_per_second=HOUR)
+        if "profile" not in self._made:
+            self._made["profile"] = segment_profile(self.assigned(), ["session_id", "segment_index"], "us", "event_id", CHUNK,
+                                                    unit_per_second=HOUR)
+        return self._made["profile"]
 
 
 EVENT_MAP = (("view", "browser_navigation"), ("click", "browser_click"), ("purchase", "browser_form_input"),

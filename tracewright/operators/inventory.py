@@ -12,6 +12,7 @@ from tracewright.functions.columns import first_match, ratio
 from tracewright.functions.text import has_script, regex_labels, script_chars, vocab_hits
 from tracewright.operators.profiles import unpivot_metrics
 from tracewright.operators.timeline import as_list, exact_quantiles
+from tracewright.session import cut_lineage
 
 
 def inventory(events: DataFrame, dims: Sequence[str], parent: Sequence[str] = ()) -> DataFrame:
@@ -149,6 +150,7 @@ def interface_inventory(events: DataFrame, by: Sequence[str], session: str, segm
 
 def observed_metrics(profile: DataFrame, counts: Sequence[str]) -> DataFrame:
     """Totals, means, medians and presence of count columns over segments."""
+    profile = cut_lineage(profile.select(*counts))
     out = None
     for c in counts:
         one = (profile.agg(F.sum(c).cast("double").alias("total"), F.avg(c).alias("mean"), F.max(c).cast("double").alias("maximum"),

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.operators.timeline import as_list, floor_div, islands, with_next, with_previous
+from tracewright.operators.timeline import (as_list, floor_div, in_groups, islands, with_next,
+                                            with_previous)
 from tracewright.session import cut_lineage
 
 PIECE = "_piece"
@@ -35,20 +36,32 @@ def greedy_pairs(pred_ts: np.ndarray, gt_ts: np.ndarray, free: np.ndarray, tol:
     return out
 
 
-def _match_piece(tol: int | str, ts: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _match_sorted(group: list[str], tol: int | str, ts: str, columns: list[str]):
+    """Match the pieces of a sorted partition one after another; one piece is held at a time."""
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         reach = int(pdf[tol].iloc[0]) if isinstance(tol, str) else tol
-        pdf = pdf.sort_values([ts, "_id"], kind="stable")
-        p = pdf[pdf["_role"] == "p"]
-        g = pdf[pdf["_role"] == "g"]
-        taken = set(pdf.loc[pdf["_role"] == "u", "_id"])
-        free = ~g["_id"].isin(taken).to_numpy()
-        hits = greedy_pairs(p[ts].to_numpy(), g[ts].to_numpy(), free, reach)
-        pi, gi = [h[0] for h in hits], [h[1] for h in hits]
-        out = p.iloc[pi].copy()
-        out["_gt_id"] = g["_id"].to_numpy()[gi]
-        out["_gt_ts"] = g[ts].to_numpy()[gi]
-        return out.drop(columns=["_role"])
+        role, times, ids = pdf["_role"].to_numpy(), pdf[ts].to_numpy(), pdf["_id"].to_numpy()
+        p, g = np.flatnonzero(role == "p"), np.flatnonzero(role == "g")
+        free = ~np.isin(ids[g], ids[role == "u"])
+        hits = greedy_pairs(times[p], times[g], free, reach)
+        picked = [p[i] for i, _ in hits]
+        targets = [g[j] for _, j in hits]
+        out = pdf.iloc[picked][columns].copy()
+        out["_gt_id"], out["_gt_ts"] = ids[targets], times[targets]
+        return out
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            keys = pdf[group]
+            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            done = [solve(pdf.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            rest = pdf.iloc[starts[-1]:] if len(starts) else pdf
+        if rest is not None and len(rest):
+            yield solve(rest)
     return run
 
 
@@ -100,18 +113,22 @@ def match_points(pred: DataFrame, gt: DataFrame, key, ts: str, pred_id: str, gt_
               .select(*key, "island", PIECE, ts, "_id", "_role"))
     schema = T.StructType([*[f for f in pieces.schema.fields if f.name != "_role"],
                            T.StructField("_gt_id", T.LongType()), T.StructField("_gt_ts", T.LongType())])
-    run = _match_piece(tol if isinstance(tol, str) else int(tol), ts)
     group = [*key, "island", PIECE]
-    found = pieces.groupBy(*group).applyInPandas(run, schema)
+    run = _match_sorted(group, tol if isinstance(tol, str) else int(tol), ts, [*group, ts, "_id"])
+
+    def solve(table: DataFrame) -> DataFrame:
+        return in_groups(table, group, [ts, "_id"]).mapInPandas(run, schema)
+
+    found = solve(pieces)
     if not crowd.filter(F.col("_last") - F.col("island") >= width).isEmpty():
-        found = _settle(cut_lineage(pieces), found, group, ts, run, schema, limit, width)
+        found = _settle(cut_lineage(pieces), found, group, ts, solve, limit, width)
     parts.append(found.select(*key, F.col("_id").alias(pred_id), F.col("_gt_id").alias(gt_id),
                               F.col(ts).alias("pred_ts"), F.col("_gt_ts").alias("gt_ts"),
                               F.abs(F.col(ts) - F.col("_gt_ts")).alias("error")))
     return parts[0].unionByName(parts[1])
 
 
-def _settle(pieces, found, group, ts, run, schema, limit, width) -> DataFrame:
+def _settle(pieces, found, group, ts, solve, limit, width) -> DataFrame:
     """Re-run the pieces whose incoming taken targets changed, until none changes."""
     found = cut_lineage(found)
 
@@ -129,8 +146,7 @@ def _settle(pieces, found, group, ts, run, schema, limit, width) -> DataFrame:
         changed = cut_lineage(changed)
         if changed.isEmpty():
             return found
-        again = (pieces.unionByName(taken).join(changed, group, "left_semi")
-                 .groupBy(*group).applyInPandas(run, schema))
+        again = solve(pieces.unionByName(taken).join(changed, group, "left_semi"))
         found, known = cut_lineage(found.join(changed, group, "left_anti").unionByName(again)), taken
 
 

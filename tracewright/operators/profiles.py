@@ -120,6 +120,8 @@ def mode_of(df: DataFrame, by, col: str, name: str | None = None, descending_tie
 
 def family_table(profile: DataFrame, family: str = "family_signature", session: str = "session_id") -> DataFrame:
     """Roll-up of segments per family with a screening score, rank and id (A10)."""
+    profile = cut_lineage(profile.select(family, session, "duration_seconds", "event_count", "clipboard_count", "form_count",
+                                         "navigation_count", "screenshot_count", "transfer_class", "page_class"))
     agg = profile.groupBy(family).agg(
         F.count(F.lit(1)).alias("segment_count"), F.count_distinct(session).alias("session_count"),
         F.sum("duration_seconds").alias("total_duration"), F.avg("duration_seconds").alias("mean_duration"),
@@ -150,6 +152,7 @@ def transition_table(profile: DataFrame, session: str, seg_id: str) -> DataFrame
 
 def quantify(profile: DataFrame, label: str) -> DataFrame:
     """Share of segments and time per label and activity percentages."""
+    profile = cut_lineage(profile.select(label, "duration_seconds", "clipboard_count", "form_count", "app_count"))
     per = profile.groupBy(label).agg(
         F.count(F.lit(1)).alias("segments"), F.sum("duration_seconds").alias("duration"),
         F.avg("duration_seconds").alias("mean_duration"),
@@ -165,6 +168,7 @@ def quantify(profile: DataFrame, label: str) -> DataFrame:
 def quantify_cases(cases: DataFrame, profile: DataFrame, seg_key, case: str, family: str) -> DataFrame:
     """Distinct segments per overlapping case type, share of the family and of its covered part."""
     seg_key = as_list(seg_key)
+    profile = cut_lineage(profile.select(*seg_key, family))
     hits = cases.select(*seg_key, case).distinct().join(profile.select(*seg_key, family), seg_key)
     covered = hits.select(*seg_key, family).distinct().groupBy(family).agg(F.count(F.lit(1)).alias("covered_segments"))
     total = profile.groupBy(family).agg(F.count(F.lit(1)).alias("family_segments"))
@@ -275,6 +279,7 @@ def decomposition_by_family(parts: DataFrame, family: str) -> DataFrame:
 
 def membership_summary(df: DataFrame, set_col: str, cluster: str, operator: str, seconds: str, k: int = 10) -> DataFrame:
     """Summary per member of a set column, with its largest clusters."""
+    df = cut_lineage(df.select(set_col, cluster, operator, seconds))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     rows = df.select(F.explode(set_col).alias("member"), cluster, operator, seconds)
     per = rows.groupBy("member", cluster).agg(F.count(F.lit(1)).alias("_n"))

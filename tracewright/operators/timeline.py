@@ -33,6 +33,16 @@ def add_chunk(df: DataFrame, ts: str, chunk: int) -> DataFrame:
     return df.withColumn(CHUNK, floor_div(F.col(ts).cast("long"), chunk))
 
 
+def in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Whole groups in one partition each, rows sorted by group and order.
+
+    The shuffle is on a hash of the group, not on the group columns: a shuffle on the columns
+    could be dropped because a join below already has them, and an adaptive change of that join
+    would then tear groups apart, since what follows states no requirement of its own.
+    """
+    return df.repartition(F.xxhash64(*group)).sortWithinPartitions(*group, *order)
+
+
 def _local(key: list[str], order: Sequence[Column]):
     return Window.partitionBy(*key, CHUNK).orderBy(*order)
 
