@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright import vocab
-from tracewright.functions.columns import first_nonblank
 
 MAX_DEPTH = 8
 
@@ -38,10 +37,10 @@ def _levels(df: DataFrame, keep: Sequence[str], json_col: str, depth: int) -> Da
     return out
 
 
-def _exploded():
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    return spark.tvf.variant_explode(F.col("_v").outer())
+def _exploded(outer: bool = False):
+    tvf = SparkSession.getActiveSession().tvf
+    step = tvf.variant_explode_outer if outer else tvf.variant_explode
+    return step(F.col("_v").outer())
 
 
 def _joined(path: Column, key: Column, pos: Column) -> Column:
@@ -52,7 +51,16 @@ def _joined(path: Column, key: Column, pos: Column) -> Column:
 def json_flatten(df: DataFrame, keep: Sequence[str], json_col: str, drop_leaf_regex: str = vocab.JSON_NOISE_KEY,
                  max_len: int = 1000, depth: int = MAX_DEPTH) -> DataFrame:
     """Scalars of a JSON column as (path, leaf, value) rows without noise keys and long texts."""
-    nodes = _levels(df, keep, json_col, depth).filter(~_is_container(F.col("_v")))
+    now = (df.select(*keep, F.try_parse_json(F.col(json_col)).alias("_v"), F.lit("").alias("path"), F.lit("").alias("leaf"))
+           .filter(F.col("_v").isNotNull()))
+    for _ in range(depth):
+        # scalars pass through unchanged, so one chain of steps opens everything in one stage
+        child = F.col("value").isNotNull()
+        now = now.lateralJoin(_exploded(outer=True)).select(
+            *keep, F.when(child, F.col("value")).otherwise(F.col("_v")).alias("_v"),
+            F.when(child, _joined(F.col("path"), F.col("key"), F.col("pos"))).otherwise(F.col("path")).alias("path"),
+            F.when(child & F.col("key").isNotNull(), F.col("key")).otherwise(F.col("leaf")).alias("leaf"))
+    nodes = now.filter(~_is_container(F.col("_v")))
     value = F.trim(F.try_variant_get(F.col("_v"), "$", "string"))
     return (nodes.select(*keep, "path", "leaf", value.alias("value"))
             .filter(F.col("value").isNotNull() & (F.col("value") != "") & (F.length("value") <= max_len)
