@@ -32,6 +32,14 @@ def read_events(spark: SparkSession, root: str, schema: str | T.StructType = EVE
     return raw.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def malformed_lines(events: DataFrame) -> DataFrame:
+    """Lines that are no JSON object, with their file.
+
+    The parser must be asked for a data column as well, hence the test on the session.
+    """
+    return events.filter(F.col("_corrupt").isNotNull() & F.col("session_id").isNull()).select("source_file", "session_id", "_corrupt")
+
+
 def read_text_lines(spark: SparkSession, root: str, file_name: str = "*.jsonl") -> DataFrame:
     """(source_file, line) for non-blank lines."""
     return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(root)
