@@ -52,6 +52,14 @@ def _across(key: list[str], descending: bool = False):
     return Window.partitionBy(*key).orderBy(c)
 
 
+def _edge(extreme, extreme_by, packed: Column, ts: str, values: dict[str, str], order) -> Column:
+    """Values of the outermost row of a chunk; for times alone a plain extreme is enough and
+    aggregates by hash, without sorting the rows first."""
+    if set(values.values()) == {ts}:
+        return F.struct(*[extreme(F.col(ts)).alias(new) for new in values])
+    return extreme_by(packed, F.struct(*order))
+
+
 def with_previous(df: DataFrame, key, ts: str, values: dict[str, str], chunk: int,
                   tie: Sequence[str] = ()) -> DataFrame:
     """Add, for each ``new: source`` pair, the source value of the previous row of the key."""
@@ -60,7 +68,7 @@ def with_previous(df: DataFrame, key, ts: str, values: dict[str, str], chunk: in
     packed = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
     rows = add_chunk(df, ts, chunk)
     edges = (rows.groupBy(*key, CHUNK)
-             .agg(F.max_by(packed, F.struct(*order)).alias("_last"))
+             .agg(_edge(F.max, F.max_by, packed, ts, values, order).alias("_last"))
              .withColumn("_carry", F.lag("_last").over(_across(key)))
              .select(*key, CHUNK, "_carry"))
     out = (rows.withColumn("_prev", F.lag(packed).over(_local(key, order)))
@@ -77,7 +85,7 @@ def with_next(df: DataFrame, key, ts: str, values: dict[str, str], chunk: int,
     packed = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
     rows = add_chunk(df, ts, chunk)
     edges = (rows.groupBy(*key, CHUNK)
-             .agg(F.min_by(packed, F.struct(*order)).alias("_first"))
+             .agg(_edge(F.min, F.min_by, packed, ts, values, order).alias("_first"))
              .withColumn("_carry", F.lead("_first").over(_across(key)))
              .select(*key, CHUNK, "_carry"))
     out = (rows.withColumn("_next", F.lead(packed).over(_local(key, order)))
@@ -103,9 +111,11 @@ def asof(left: DataFrame, right: DataFrame, key, ts: str, values: Sequence[str],
               .unionByName(points, allowMissingColumns=True)
               .withColumn(CHUNK, floor_div(F.col("_ts").cast("long"), chunk)))
     is_left = F.col("_left").isNotNull().cast("int")
-    right_ts = F.when(F.col("_right").isNotNull(), F.col("_ts"))
-    marks = merged.groupBy(*key, CHUNK).agg(F.max_by("_right", right_ts).alias("_hi"),
-                                            F.min_by("_right", right_ts).alias("_lo"))
+    # the many left rows only tell which chunks exist, a hash aggregate over two columns;
+    # picking rows is left to the right side, which is smaller
+    edges = (merged.filter(F.col("_right").isNotNull()).groupBy(*key, CHUNK)
+             .agg(F.max_by("_right", "_ts").alias("_hi"), F.min_by("_right", "_ts").alias("_lo")))
+    marks = merged.select(*key, CHUNK).distinct().join(edges, [*key, CHUNK], "left")
     back = _across(key).rowsBetween(Window.unboundedPreceding, -1)
     fore = _across(key).rowsBetween(1, Window.unboundedFollowing)
     marks = marks.select(*key, CHUNK,
