@@ -305,8 +305,19 @@ def _(t):
     return mt.local_peaks(pts, "session_id", "us", "score", 1.5, 3 * STEP, CHUNK)
 
 
+CTES["qseg"] = ("prd", """SELECT session_id, us AS segment_start, nxt AS segment_end, row_number() OVER (PARTITION BY session_id ORDER BY us) AS segment_index FROM (
+  SELECT *, lead(us) OVER (PARTITION BY session_id ORDER BY us) AS nxt FROM (SELECT session_id, predicted_ts AS us FROM prd JOIN sess USING (session_id) WHERE predicted_ts>session_start AND predicted_ts<session_end
+   UNION SELECT session_id, session_start FROM sess UNION SELECT session_id, session_end FROM sess)) WHERE nxt>us""")
+CTES["qasg"] = ("qseg", CTES["asg"][1].replace("JOIN seg s", "JOIN qseg s"))
+CTES["qapc"] = ("qasg", CTES["apc"][1].replace("FROM asg", "FROM qasg"))
+CTES["qaps"] = ("qapc", CTES["aps"][1].replace("FROM apc", "FROM qapc"))
+
+
 @query("Q01_boundaries_to_profiles", "session_id:i segment_index:i segment_start:i segment_end:i event_count:i navigation_count:i "
-       "form_count:i clipboard_count:i app_count:i app_sequence:l")
+       "form_count:i clipboard_count:i app_count:i app_sequence:l",
+       f"""SELECT * FROM (SELECT session_id, segment_index, min(segment_start) AS segment_start, min(segment_end) AS segment_end, count(*) AS event_count, {count_sql('browser_navigation')} AS navigation_count,
+  {count_sql('browser_form_input')} AS form_count, {count_sql('clipboard_change')} AS clipboard_count, count(DISTINCT app) AS app_count FROM qasg GROUP BY 1,2)
+  LEFT JOIN (SELECT session_id, segment_index, app_sequence FROM qaps) USING (session_id, segment_index)""", "qaps")
 def _(t):
     from tracewright.plans.boundaries import boundaries_to_profiles
     return boundaries_to_profiles(t.events, "session_id", "us", "event_id", STEP, 2.0, GAP, CHUNK)
