@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, langid, lm, mixing, neardup, toxicity
+from tracewright.llm import bpe, langid, lm, mixing, neardup, pivots, toxicity
 from tracewright.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lm.score(_read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0, scanned=True)
     return made.withColumn("held_out", fold(F.col("doc_id"), 10) == 0).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
