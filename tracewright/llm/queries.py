@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, langid, lm, mixing, neardup, pivots, toxicity
+from tracewright.llm import ann, bpe, langid, lm, mixing, neardup, pivots, toxicity
 from tracewright.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
