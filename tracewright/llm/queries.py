@@ -45,8 +45,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
-    known = labels.filter(fold(F.col("doc_id"), 4) != 2).select("doc_id", F.col("toxic").alias("_toxic"))
-    return toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"), label="_toxic")
+    return toxicity.fit(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
 
 
 @_query

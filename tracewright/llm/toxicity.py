@@ -169,17 +169,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]
     return float(max(beta[0], 0) / scale), float(beta[1])
 
 
-def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: tuple[int, int] = (1200, 800),
-        longest: int = 6_000) -> ToxicityModel:
-    """Fit on a sample of labelled rows: at most ``per_class`` texts of label 0 and 1, each of at most
-    ``longest`` characters, those with the least hash of the text."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).filter(
-        F.col("y").isin(0, 1) & (F.length("t") > 0) & (F.length("t") <= longest))
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    sample = []
-    for y, most in enumerate(per_class):
-        got = rows.filter(F.col("y") == y).select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(most).collect()
-        sample += [(r["t"], y) for r in got]
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
+        per_class: tuple[int, int] = (1200, 800), longest: int = 6_000, tried: int = 3) -> ToxicityModel:
+    """Fit on a sample of labelled texts: at most ``per_class`` of label 0 and 1, each of at most ``longest``
+    characters.
+
+    Of each label the first ids by hash are tried, ``tried`` times as many as are taken, since some
+    texts are missing or too long; so many ids are the bound of the broadcast that picks their texts.
+    """
+    known = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_y")).filter(
+        F.col("_y").isin(0, 1) & F.col("_id").isNotNull()).distinct()
+    sizes = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    order = F.xxhash64("_id").alias("_h")
+    picked = [known.filter(F.col("_y") == y).select("_id", "_y", order).orderBy("_h", "_id").limit(tried * most) for y, most in enumerate(per_class)]
+    texts = (docs.select(F.col(id).alias("_id"), F.col(text).alias("_t")).filter((F.length("_t") > 0) & (F.length("_t") <= longest))
+             .join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("_h", "_t", "_y"))
+    found = sorted(tuple(r) for r in texts.distinct().toLocalIterator())
+    sample = [(t, y) for y, most in enumerate(per_class) for _, t, _ in [r for r in found if r[2] == y][:most]]
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     return learn(sample, min(0.5, max(0.01, share)))
 
