@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import ann, bpe, langid, lm, mixing, neardup, pivots, toxicity
+from tracewright.llm import ann, bpe, langid, licenses, lm, mixing, neardup, pivots, toxicity, warc
 from tracewright.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,20 @@ def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.as_responses(_read(spark, sf_dir, "pages")))
+    return made.withColumnRenamed("id", "page_id").withColumnRenamed("date", "warc_date")
+
+
+SQL["op5_warc"] = warc.derive_sql()
+
+
+@_query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+SQL["op10_licenses"] = licenses.scan_sql()
