@@ -162,7 +162,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     total = int(plan.quota.sum())
     # documents on the line of their source
-    chunks = max(1, rows.count() // 20_000)
+    chunks = max(1, rows.count() // 4_000)
     hashed = rows.filter("size > 0").select("row", "id", "source_no", "size", F.xxhash64("id").alias("h"))
     line = running_before(hashed.withColumn("chunk", F.pmod("h", F.lit(chunks))), "source_no", "chunk", ["h", "id", "size", "row"], "size", "start")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -179,7 +179,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     numbered = running_before(drawn.withColumn("chunk", F.floor(F.col("shard") / 1024)), "source", "chunk", ["shard"], "count", "first")
     placed = numbered.select("shard", "source", "count", "first").mapInArrow(
         _placed(plan, sums, seed), "shard long, source_no long, slot long, block long")
-    return rows, placed.join(packed, ["source_no", "block"]).select("shard", "source_no", "slot", "row", "id", "begin", "words")
+    # sizes of what Python or explode makes are not known beforehand: neither side may be broadcast
+    return rows, placed.hint("merge").join(packed.hint("merge"), ["source_no", "block"]).select("shard", "source_no", "slot", "row", "id", "begin", "words")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
