@@ -20,7 +20,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut_lineage(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(parent, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         edges = cut_lineage(small.unionByName(parent.select("u", F.col("m").alias("v"))).distinct())

@@ -128,10 +128,9 @@ def _blocks(sets: DataFrame) -> DataFrame:
     found = []
     for depth in range(DEEPEST + 1):
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = rows.join(sizes, "key")
+        sized = _staged(rows.join(sizes, "key"), "sized")
         found.append(sized.filter(F.col("size") <= SMALL).select(F.col("key").alias("block"), "node"))
         large = sized.filter(F.col("size") > SMALL)
-        large = _staged(large, "large")
         if large.isEmpty():
             break
         if depth == DEEPEST:
@@ -143,12 +142,13 @@ def _blocks(sets: DataFrame) -> DataFrame:
         # the share of pairs of a node that meet again estimates how alike its sets are
         alike = (grown.groupBy("key", "size", "branch", "child").agg(F.count("*").alias("n"))
                  .groupBy("key").agg((F.sum(F.col("n") * F.col("n")) / (F.first("size") * F.first("size") * F.lit(float(BRANCHES)))).alias("alike")))
-        dense = alike.filter(F.col("alike") >= DENSE).select("key")
+        dense = _staged(alike.filter(F.col("alike") >= DENSE).select("key"), "dense")
         found.append(_dense(large.join(dense, "key", "left_semi")))
         rows = grown.join(dense, "key", "left_anti").select("node", F.col("child").alias("key"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
+    out = _staged(out, "met")
     # the same sets often meet in several nodes; one block of them is enough
     listed = out.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"),
                                       F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
