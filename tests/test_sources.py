@@ -64,11 +64,12 @@ def test_table_and_segments_round_trip(spark, tmp_path):
         wr.write_segments_jsonl(segs.union(segs), str(tmp_path / "k"), ["session_id", "segment_index"])
 
 
-def test_json_depth_and_overflow(spark):
+def test_json_search(spark):
     df = spark.createDataFrame([(1, '{"a":{"b":[{"c":1},{"c":"x"}]},"event_id":"no","t":null}'), (2, "not json")], "id int, j string")
     assert rows(vr.json_flatten(df, ["id"], "j"), "path", "value") == [("a.b[0].c", "1"), ("a.b[1].c", "x")]
     assert rows(vr.json_find(df, ["id"], "j", ["b"]), "path") == [("a.b",)]
-    assert vr.overflow(df, "j", depth=2).first()["unopened"] == 1 and vr.overflow(df, "j").first()["unopened"] == 0
+    assert rows(vr.json_find(df, ["id"], "j", ["B"]), "path") == []
+    assert rows(vr.json_find(df, ["id"], "j", ["B"], ignore_case=True), "path") == [("a.b",)]
     recs = vr.find_records(df, ["id"], "j", ["c"], ["c", "d"])
     assert rows(recs, "c", "d") == [("1", None), ("x", None)]
 
@@ -101,3 +102,13 @@ def test_manifest_reconciliation(spark):
                               "chunk string, session string, previous_chunk string, next_chunk string, total_events long, events_by_type map<string,long>, start_ts long, end_ts long")
     got = rows(nv.reconcile_manifest(e, m, "chunk", "session", "us"), "chunk", "manifest_present", "count_ok", "types_ok", "next_ok", "chunk_ok")
     assert got == [("c1", True, True, True, True, True), ("c2", True, False, True, False, False), ("c3", False, False, False, True, False)]
+
+
+def test_json_search_has_no_limits(spark):
+    deep = '{"n":' * 40 + '{"deep":"' + "x" * 3000 + '","empty":{},"s":"[[{{\\\"["}' + "}" * 40
+    df = spark.createDataFrame([(1, deep), (2, '{"deep":2}'), (3, "7"), (4, None), (5, "[]")], "id int, j string")
+    assert [r["d"] for r in df.select(vr.nesting(F.col("j")).alias("d")).collect()] == [42, 1, 0, None, 1]
+    flat = rows(vr.json_flatten(df, ["id"], "j"), "id", "leaf", "value")
+    assert flat == [(1, "deep", "x" * 3000), (1, "s", '[[{{"['), (2, "deep", "2"), (3, "", "7")]
+    assert rows(vr.json_find(df, ["id"], "j", ["empty", "deep"]), "id", "leaf") == [(1, "deep"), (1, "empty"), (2, "deep")]
+    assert rows(vr.find_records(df, ["id"], "j", ["deep"], ["deep"]), "id", "deep") == [(1, "x" * 3000), (2, "2")]

@@ -81,7 +81,7 @@ def json_events(t: Tables):
        """SELECT event_id, unnest(['payload.element.inner.id','payload.links[0].href','payload.element.value']) AS path, unnest([app, path, CAST(k AS VARCHAR)]) AS value FROM ev""".replace("unnest([app, path,", "unnest([app, ev.path,")
        .join(["SELECT * FROM (", ") WHERE value IS NOT NULL"]), "ev")
 def _(t):
-    return vr.json_find(json_events(t), ["event_id"], "doc", ["id", "href", "value"], depth=5)
+    return vr.json_find(json_events(t), ["event_id"], "doc", ["id", "href", "value"])
 
 
 CTES["flat"] = ("ev", """SELECT * FROM (SELECT event_id, event_type, unnest(['payload.element.name','payload.element.value','payload.element.inner.id','payload.links[0].href','payload.links[1].depth']) AS path,
@@ -90,7 +90,40 @@ CTES["flat"] = ("ev", """SELECT * FROM (SELECT event_id, event_type, unnest(['pa
 
 @query("P11_json_flatten", "event_id:i path:s value:s", "SELECT * FROM flat", "flat")
 def _(t):
-    return vr.json_flatten(json_events(t), ["event_id"], "doc", depth=5)
+    return vr.json_flatten(json_events(t), ["event_id"], "doc")
+
+
+def deep_events(t):
+    """Events whose payload lies 1 to 13 objects and arrays deep, every fourth a text of over 1000 characters."""
+    k = F.col("k")
+    n = (k % 13).cast("int")
+    value = F.concat(F.when(k % 4 == 0, F.repeat(F.lit("x"), 1200)).otherwise(F.lit("y")), k.cast("string"))
+    doc = F.concat(F.repeat(F.lit('{"n":['), n), F.lit('{"deep":"'), value, F.lit('"}'), F.repeat(F.lit("]}"), n))
+    return t.events.select("event_id", doc.alias("doc"))
+
+
+_DEEP = """SELECT event_id, repeat('n[0].', CAST(k%13 AS INTEGER)) || 'deep' AS path,
+  CASE WHEN k%4=0 THEN repeat('x', 1200) ELSE 'y' END || CAST(k AS VARCHAR) AS value FROM ev"""
+
+
+@query("P11_json_flatten_deep", "event_id:i path:s value:s", _DEEP, "ev")
+def _(t):
+    return vr.json_flatten(deep_events(t), ["event_id"], "doc")
+
+
+@query("P11_json_flatten_short", "event_id:i path:s value:s", _DEEP + " WHERE k%4<>0", "ev")
+def _(t):
+    return vr.json_flatten(deep_events(t), ["event_id"], "doc", max_len=1000)
+
+
+@query("P10_json_find_deep", "event_id:i path:s value:s", _DEEP, "ev")
+def _(t):
+    return vr.json_find(deep_events(t), ["event_id"], "doc", ["deep"])
+
+
+@query("S05_find_records_deep", "event_id:i deep:s", f"SELECT event_id, value AS deep FROM ({_DEEP})", "ev")
+def _(t):
+    return vr.find_records(deep_events(t), ["event_id"], "doc", ["deep"], ["deep"])
 
 
 @query("P12_payload_scalars", "event_id:i event_type:s path:s value:s",
@@ -108,5 +141,5 @@ def _(t):
     field = F.when(k % 3 == 0, "金額").when(k % 3 == 1, "status").otherwise("Employee ID")
     doc = F.struct(F.struct(field.alias("name"), k.cast("string").alias("value")).alias("field_input"), F.col("event_type").alias("category"))
     e = t.events.select("event_id", "session_id", F.to_json(doc).alias("doc"))
-    scalars = vr.json_flatten(e, ["event_id", "session_id"], "doc", depth=3)
+    scalars = vr.json_flatten(e, ["event_id", "session_id"], "doc")
     return vr.structured_case(scalars, ["event_id", "session_id"], ["session_id"]).select("session_id", "field", "value", "provenance").distinct()

@@ -93,7 +93,7 @@ def _(t):
        "SELECT CAST(o_orderkey AS VARCHAR) AS exec_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS start_ts, 'v' AS variant FROM orders")
 def _(t):
     lines = rd.read_text_lines(t.spark, staged_manifests(t), "*.json")
-    return vr.find_records(lines, [], "line", ["exec_id"], ["exec_id", "start_ts", "variant"], depth=5)
+    return vr.find_records(lines, [], "line", ["exec_id"], ["exec_id", "start_ts", "variant"])
 
 
 @query("S06_read_boundaries", "session_id:s us:i event:s process_code:s",

@@ -1,7 +1,8 @@
 """Schema-less JSON: find keys and flatten scalars at any depth with VARIANT columns.
 
-Each level is one ``variant_explode``; levels are unioned up to a fixed depth, and what lies
-deeper is counted, never silently dropped.
+The depth of the deepest text is measured first, by one aggregate over the raw text, so nothing lies
+too deep to be found.  Then one chain of explosions opens all levels: finished scalars pass through,
+and every few levels the rows are written so that a plan stays short however deep the texts are.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright import vocab
+from tracewright.session import cut_lineage
 
-MAX_DEPTH = 8
+#: Levels opened in one plan.
+LEVELS = 6
 
 
 def _is_container(v: Column) -> Column:
@@ -21,26 +24,41 @@ def _is_container(v: Column) -> Column:
     return F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
 
 
-def _levels(df: DataFrame, keep: Sequence[str], json_col: str, depth: int) -> DataFrame:
-    """(keep, path, leaf, value, level) for every node down to ``depth``."""
-    now = (df.select(*keep, F.try_parse_json(F.col(json_col)).alias("_v"), F.lit("").alias("path"), F.lit("").alias("leaf"))
-           .filter(F.col("_v").isNotNull()))
-    out = None
-    for level in range(1, depth + 1):
-        opened = (now.filter(_is_container(F.col("_v")))
-                  .lateralJoin(_exploded())
-                  .select(*keep, F.col("value").alias("_v"), _joined(F.col("path"), F.col("key"), F.col("pos")).alias("path"),
-                          F.coalesce("key", F.col("leaf")).alias("leaf")))
-        found = opened.withColumn("level", F.lit(level))
-        out = found if out is None else out.unionByName(found)
-        now = opened
-    return out
+def nesting(text: Column) -> Column:
+    """How deep objects and arrays of a JSON text are nested; 0 for a scalar, null for null."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
+    def step(s, c):
+        now = s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
 
-def _exploded(outer: bool = False):
+    each = F.filter(F.split(brackets, ""), lambda c: c != "")
+    return F.aggregate(each, state, step, lambda s: s["most"])
+
+
+def _walk(df: DataFrame, keep: Sequence[str], json_col: str, interior: bool) -> DataFrame:
+    """(keep, path, leaf, value) of every scalar of the texts that parse, with ``interior`` of every container too."""
+    parsed = df.select(*keep, F.col(json_col).alias("_text"), F.try_parse_json(F.col(json_col)).alias("_v")).filter(F.col("_v").isNotNull())
+    depth = parsed.agg(F.max(nesting(F.col("_text")))).first()[0] or 0
+    empty = F.lit(None).cast("variant")
+    rows = parsed.select(*keep, F.lit("").alias("path"), F.lit("").alias("leaf"), "_v", F.when(_is_container(F.col("_v")), F.col("_v")).alias("_open"))
     tvf = SparkSession.getActiveSession().tvf
-    step = tvf.variant_explode_outer if outer else tvf.variant_explode
-    return step(F.col("_v").outer())
+    for level in range(depth):
+        copies = F.when(F.col("_open").isNotNull() & F.lit(interior), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+        rows = rows.withColumn("_shut", F.explode(copies)).withColumn("_open", F.when(~F.col("_shut"), F.col("_open")).otherwise(empty))
+        found = rows.lateralJoin(tvf.variant_explode_outer(F.col("_open").outer()))
+        child = F.col("value").isNotNull()
+        # the copy that was opened goes when it held nothing: the other copy stands for it
+        found = found.filter(child | F.col("_open").isNull() | ~F.lit(interior))
+        rows = found.select(
+            *keep, F.when(child, _joined(F.col("path"), F.col("key"), F.col("pos"))).otherwise(F.col("path")).alias("path"),
+            F.when(child & F.col("key").isNotNull(), F.col("key")).otherwise(F.col("leaf")).alias("leaf"),
+            F.when(child, F.col("value")).otherwise(F.col("_v")).alias("_v"),
+            F.when(child & _is_container(F.col("value")), F.col("value")).alias("_open"))
+        if level % LEVELS == LEVELS - 1 and level < depth - 1:
+            rows = cut_lineage(rows)
+    return rows.drop("_open")
 
 
 def _joined(path: Column, key: Column, pos: Column) -> Column:
@@ -49,43 +67,28 @@ def _joined(path: Column, key: Column, pos: Column) -> Column:
 
 
 def json_flatten(df: DataFrame, keep: Sequence[str], json_col: str, drop_leaf_regex: str = vocab.JSON_NOISE_KEY,
-                 max_len: int = 1000, depth: int = MAX_DEPTH) -> DataFrame:
-    """Scalars of a JSON column as (path, leaf, value) rows without noise keys and long texts."""
-    now = (df.select(*keep, F.try_parse_json(F.col(json_col)).alias("_v"), F.lit("").alias("path"), F.lit("").alias("leaf"))
-           .filter(F.col("_v").isNotNull()))
-    for _ in range(depth):
-        # scalars pass through unchanged, so one chain of steps opens everything in one stage
-        child = F.col("value").isNotNull()
-        now = now.lateralJoin(_exploded(outer=True)).select(
-            *keep, F.when(child, F.col("value")).otherwise(F.col("_v")).alias("_v"),
-            F.when(child, _joined(F.col("path"), F.col("key"), F.col("pos"))).otherwise(F.col("path")).alias("path"),
-            F.when(child & F.col("key").isNotNull(), F.col("key")).otherwise(F.col("leaf")).alias("leaf"))
-    nodes = now.filter(~_is_container(F.col("_v")))
+                 max_len: int | None = None) -> DataFrame:
+    """Scalars of a JSON column as (path, leaf, value) rows without noise keys (P11); ``max_len`` drops longer texts."""
+    nodes = _walk(df, keep, json_col, False).filter(~_is_container(F.col("_v")))
     value = F.trim(F.try_variant_get(F.col("_v"), "$", "string"))
-    return (nodes.select(*keep, "path", "leaf", value.alias("value"))
-            .filter(F.col("value").isNotNull() & (F.col("value") != "") & (F.length("value") <= max_len)
-                    & ~F.rlike(F.col("leaf"), F.lit(drop_leaf_regex))))
+    out = (nodes.select(*keep, "path", "leaf", value.alias("value"))
+           .filter(F.col("value").isNotNull() & (F.col("value") != "") & ~F.rlike(F.col("leaf"), F.lit(drop_leaf_regex))))
+    return out if max_len is None else out.filter(F.length("value") <= max_len)
 
 
-def json_find(df: DataFrame, keep: Sequence[str], json_col: str, keys: Sequence[str], depth: int = MAX_DEPTH) -> DataFrame:
-    """All values under the given keys at any depth (P10)."""
-    nodes = _levels(df, keep, json_col, depth).filter(F.lower("leaf").isin(*[k.lower() for k in keys]))
-    return nodes.filter(~F.endswith("path", F.lit("]"))).select(
+def json_find(df: DataFrame, keep: Sequence[str], json_col: str, keys: Sequence[str], ignore_case: bool = False) -> DataFrame:
+    """All values, containers too, under the given keys at any depth (P10)."""
+    leaf = F.lower("leaf") if ignore_case else F.col("leaf")
+    nodes = _walk(df, keep, json_col, True).filter(leaf.isin(*[k.lower() if ignore_case else k for k in keys]))
+    return nodes.filter((F.col("path") != "") & ~F.endswith("path", F.lit("]"))).select(
         *keep, "path", "leaf", F.coalesce(F.try_variant_get(F.col("_v"), "$", "string"), F.to_json("_v")).alias("value"))
 
 
-def overflow(df: DataFrame, json_col: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """How many containers lie at the depth limit and were not opened."""
-    return _levels(df, [], json_col, depth).filter((F.col("level") == depth) & _is_container(F.col("_v"))).agg(
-        F.count(F.lit(1)).alias("unopened"))
-
-
 def find_records(df: DataFrame, keep: Sequence[str], json_col: str, required_any: Sequence[str],
-                 fields: Sequence[str], depth: int = MAX_DEPTH) -> DataFrame:
+                 fields: Sequence[str]) -> DataFrame:
     """Objects anywhere in the JSON that hold one of the required keys, read as flat records and
     de-duplicated on all fields (S05)."""
-    root = df.select(*keep, F.try_parse_json(F.col(json_col)).alias("_v")).filter(F.col("_v").isNotNull())
-    nodes = root.unionByName(_levels(df, keep, json_col, depth).select(*keep, "_v"))
+    nodes = _walk(df, keep, json_col, True)
 
     def get(name):
         return F.try_variant_get(F.col("_v"), f"$.{name}", "string")
@@ -97,13 +100,14 @@ def find_records(df: DataFrame, keep: Sequence[str], json_col: str, required_any
     return objects.select(*keep, *[get(f).alias(f) for f in fields]).dropDuplicates()
 
 
-def payload_scalars(df: DataFrame, keep: Sequence[str], event_type: str, containers: Mapping[str, str], default: str) -> DataFrame:
+def payload_scalars(df: DataFrame, keep: Sequence[str], event_type: str, containers: Mapping[str, str], default: str,
+                    max_len: int | None = None) -> DataFrame:
     """Scalars of the column that carries the payload of each event type."""
     chosen = F.col(default)
     for kind, column in containers.items():
         chosen = F.when(F.col(event_type) == kind, F.col(column)).otherwise(chosen)
     rows = df.withColumn("_payload", chosen)
-    return json_flatten(rows, [*keep, event_type], "_payload").dropDuplicates()
+    return json_flatten(rows, [*keep, event_type], "_payload", max_len=max_len).dropDuplicates()
 
 
 def structured_case(scalars: DataFrame, event_keys: Sequence[str], group: Sequence[str]) -> DataFrame:
