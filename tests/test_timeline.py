@@ -77,3 +77,36 @@ def test_exact_quantiles(spark):
 def test_floor_div_below_zero(spark):
     df = spark.createDataFrame([(-1,), (-10,), (0,), (9,), (10,)], "t long")
     assert rows(df.select("t", tl.floor_div(F.col("t"), 10).alias("b"))) == [(-10, -1), (-1, -1), (0, 0), (9, 0), (10, 1)]
+
+
+def _keys_of_exchanges(df):
+    """Hash keys of the exchanges of a plan made without broadcasts."""
+    import re
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", m) for m in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
+
+
+def test_hot_keys_are_dealt_by_bin_and_bucket(spark):
+    from tracewright.operators.features import time_bins
+    from tracewright.operators.sampling import matched_controls
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForDistribution")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "false")
+    try:
+        events = spark.createDataFrame([(1, 5, "click", "a", "w")], "k long, us long, event_type string, app string, window_title string")
+        assert any(x.startswith("k, bin_number") for x in _keys_of_exchanges(time_bins(events, "k", "us", 10)))
+        anchors = spark.createDataFrame([(1,)], "k long")
+        controls = matched_controls(spark.createDataFrame([(1, 2)], "k long, id long"), anchors, "k", "id")
+        assert any(x.startswith("k, _bucket") for x in _keys_of_exchanges(controls))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_value_buckets_spread(spark):
+    from pyspark.sql import functions as F
+    from tracewright.operators.timeline import value_bucket
+    df = spark.range(100_000).select((F.col("id") / 100_000.0 - 0.1).alias("v")).withColumn("b", value_bucket(F.col("v")))
+    assert df.select("b").distinct().count() > 1000
+    got = [r["b"] for r in df.orderBy("v").collect()]
+    assert got == sorted(got) and df.filter("v = 0").first()["b"] == 0

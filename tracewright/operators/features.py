@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.columns import count_class
 from tracewright.operators.intervals import window_join
 from tracewright.operators.timeline import as_list, floor_div
+from tracewright.session import by_all_keys
 
 # feature name -> event class
 HEURISTIC_COUNTS = {"app_switches": "app_switch", "navigation": "navigation", "browser_clicks": "browser_click",
@@ -35,7 +36,7 @@ def time_bins(events: DataFrame, key, ts: str, width: int, counts: Mapping[str,
     key = as_list(key)
     distinct = {"unique_apps": "app", "unique_windows": "window_title"} if distinct is None else distinct
     span = session_span(events, key, ts)
-    binned = events.join(span, key).withColumn("bin_number", floor_div(F.col(ts) - F.col("session_start"), width))
+    binned = by_all_keys(events).join(span, key).withColumn("bin_number", floor_div(F.col(ts) - F.col("session_start"), width))
     return (binned.groupBy(*key, "bin_number")
             .agg((F.first("session_start") + F.col("bin_number") * F.lit(int(width))).alias("bin_start"),
                  F.count(F.lit(1)).alias("event_count"),
@@ -69,7 +70,7 @@ def candidate_features(events: DataFrame, key, ts: str, step: int, window: int,
     unit = gcd(int(step), int(window))
     per_step, per_window = int(step) // unit, int(window) // unit
     span = session_span(events, key, ts)
-    fine = (events.join(span, key)
+    fine = (by_all_keys(events).join(span, key)
             .groupBy(*key, floor_div(F.col(ts) - F.col("session_start"), unit).alias("_f"))
             .agg(F.count(F.lit(1)).alias("event_count"),
                  *[count_class("event_type", c).alias(n) for n, c in counts.items()],

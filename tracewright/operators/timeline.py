@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.session import by_all_keys
+
 CHUNK = "_chunk"
 
 
@@ -30,7 +32,7 @@ def floor_div(value: Column | str, width: int) -> Column:
 
 
 def add_chunk(df: DataFrame, ts: str, chunk: int) -> DataFrame:
-    return df.withColumn(CHUNK, floor_div(F.col(ts).cast("long"), chunk))
+    return by_all_keys(df).withColumn(CHUNK, floor_div(F.col(ts).cast("long"), chunk))
 
 
 def in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -107,7 +109,7 @@ def asof(left: DataFrame, right: DataFrame, key, ts: str, values: Sequence[str],
     points = (right.groupBy(*key, ts).agg(F.min_by(payload, pick).alias("_right"))
               .select(*key, F.col(ts).alias("_ts"), "_right"))
     rest = [c for c in left.columns if c not in key]
-    merged = (left.select(*key, F.col(ts).alias("_ts"), F.struct(*rest).alias("_left"))
+    merged = (by_all_keys(left).select(*key, F.col(ts).alias("_ts"), F.struct(*rest).alias("_left"))
               .unionByName(points, allowMissingColumns=True)
               .withColumn(CHUNK, floor_div(F.col("_ts").cast("long"), chunk)))
     is_left = F.col("_left").isNotNull().cast("int")
@@ -180,7 +182,7 @@ def rank_in_buckets(df: DataFrame, by, bucket: Column, order: Sequence[Column],
     shifted by the counts of the buckets before it.
     """
     by = as_list(by)
-    rows = df.withColumn("_bucket", bucket)
+    rows = by_all_keys(df).withColumn("_bucket", bucket)
     counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_bucket",
@@ -196,10 +198,15 @@ def hash_bucket(col: Column) -> Column:
     return F.substring(col, 1, 4)
 
 
+#: Steps of a value bucket per doubling: enough to spread scores in [0, 1) or times within one doubling.
+STEPS = 1 << 14
+
+
 def value_bucket(col: Column) -> Column:
-    """Monotone coarse bucket of a number: 64 steps per doubling on both sides of zero."""
+    """Monotone bucket of a number: ``STEPS`` per doubling on both sides of zero, zero by itself."""
     c = col.cast("double")
-    return (F.signum(c) * F.floor(F.log2(F.abs(c) + 1.0) * 64)).cast("long")
+    size = F.floor(F.log2(F.least(F.abs(c), F.lit(1.7e308))) * STEPS) + F.lit(1100 * STEPS)  # above 0 down to the smallest double
+    return F.when(c == 0, F.lit(0)).otherwise(F.signum(c) * size).cast("long")
 
 
 def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict[str, float]) -> DataFrame:
@@ -209,7 +216,7 @@ def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict[str, float]) ->
     counts, and only the values covering a wanted position reach the final aggregate.
     """
     by = as_list(by)
-    counted = (df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v"))
+    counted = (by_all_keys(df).filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v"))
                .agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", value_bucket(F.col("_v"))))
     per_bucket = counted.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_m"))
     g = Window.partitionBy(*by)

@@ -19,6 +19,8 @@ def build_session(app: str = "tracewright", master: str | None = None, **conf) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.requireAllClusterKeysForDistribution": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for name, value in settings.items():
@@ -26,6 +28,16 @@ def build_session(app: str = "tracewright", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
+def by_all_keys(df: DataFrame) -> DataFrame:
+    """Make windows and aggregates on (key, chunk) shuffle on both, also above a join on the key.
+
+    Spark takes rows hashed by the key alone as good enough, and then one task has a whole key.  The
+    setting belongs to the session, which may be the caller's own, so every helper that relies on it sets it.
+    """
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
+    return df
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
