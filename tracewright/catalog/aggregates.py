@@ -153,13 +153,30 @@ def _(t):
 _CONCEPTS = {"en": {"reporting": ["tion", "ment"], "rare": ["zzzz", "theronth"]}, "fr": {"aqueous": ["eau"]}, "de": {"speech": ["sch"]}}
 
 
-@query("A33_concept_candidates", "lang:s concept:s segments:i sessions:i operators:i status:s",
-       """SELECT *, CASE WHEN segments>=5 AND sessions>=2 AND operators>=2 THEN 'PROCESS_CANDIDATE' ELSE 'REVIEW' END AS status FROM (SELECT lang, concept, count(DISTINCT (source, doc_id)) AS segments, count(DISTINCT source) AS sessions, count(DISTINCT n_chars%5) AS operators FROM (
-  SELECT *, unnest([x for x in [CASE WHEN lang='en' AND (contains(lower(text),'tion') OR contains(lower(text),'ment')) THEN 'reporting' END, CASE WHEN lang='en' AND (contains(lower(text),'zzzz') OR contains(lower(text),'theronth')) THEN 'rare' END,
-   CASE WHEN lang='fr' AND contains(lower(text),'eau') THEN 'aqueous' END, CASE WHEN lang='de' AND contains(lower(text),'sch') THEN 'speech' END] if x IS NOT NULL]) AS concept FROM documents) GROUP BY 1,2)""")
+CTES["cob"] = ("", """SELECT *, CASE lang WHEN 'fr' THEN 'r' || CAST(doc_id%2 AS VARCHAR) WHEN 'de' THEN NULL ELSE 'r' || CAST(doc_id%4 AS VARCHAR) END AS route FROM documents""")
+CTES["con"] = ("cob", """SELECT *, unnest([x for x in [CASE WHEN lang='en' AND (contains(lower(text),'tion') OR contains(lower(text),'ment')) THEN 'reporting' END,
+  CASE WHEN lang='en' AND (contains(lower(text),'zzzz') OR contains(lower(text),'theronth')) THEN 'rare' END,
+  CASE WHEN lang='fr' AND contains(lower(text),'eau') THEN 'aqueous' END, CASE WHEN lang='de' AND contains(lower(text),'sch') THEN 'speech' END] if x IS NOT NULL]) AS concept FROM cob""")
+
+
+def _top_sql(col: str, k: int, name: str) -> str:
+    return f"""SELECT lang, concept, string_agg({col} || ':' || CAST(n AS VARCHAR), ' | ' ORDER BY r) AS {name}, count(*) AS {name}_shown FROM (
+   SELECT *, row_number() OVER (PARTITION BY lang, concept ORDER BY n DESC, {col}) AS r FROM (SELECT lang, concept, {col}, count(*) AS n FROM con WHERE coalesce({col},'')<>'' GROUP BY 1,2,3)) WHERE r<={k} GROUP BY 1,2"""
+
+
+@query("A33_concept_candidates", "lang:s concept:s segments:i sessions:i operators:i share_pct:d top_routes:s top_sources:s representative_segments:s status:s",
+       f"""SELECT *, CASE WHEN NOT (segments>=5 AND sessions>=2 AND operators>=2) THEN 'BELOW_GATE' WHEN coalesce(top_routes_shown,0)<=2 THEN 'PROCESS_CANDIDATE' ELSE 'REVIEW' END AS status FROM (
+  SELECT lang, concept, count(DISTINCT (source, doc_id)) AS segments, count(DISTINCT source) AS sessions, count(DISTINCT n_chars%5) AS operators FROM con GROUP BY 1,2)
+  JOIN (SELECT lang, count(*) AS total FROM documents GROUP BY 1) USING (lang)
+  LEFT JOIN ({_top_sql('route', 3, 'top_routes')}) USING (lang, concept) LEFT JOIN ({_top_sql('source', 8, 'top_sources')}) USING (lang, concept)
+  LEFT JOIN (SELECT lang, concept, string_agg(CAST(doc_id AS VARCHAR), ' | ' ORDER BY doc_id) AS representative_segments FROM (
+   SELECT *, row_number() OVER (PARTITION BY lang, concept ORDER BY doc_id) AS r FROM (SELECT DISTINCT lang, concept, doc_id FROM con)) WHERE r<=15 GROUP BY 1,2) USING (lang, concept)
+  """.replace("SELECT *, CASE WHEN NOT", "SELECT *, 100.0*segments/total AS share_pct, CASE WHEN NOT"), "con")
 def _(t):
-    d = t.read("documents").withColumn("operator", F.col("n_chars") % 5)
-    return nv.concept_candidates(d, "lang", "text", "source", "doc_id", "operator", _CONCEPTS)
+    i = F.col("doc_id")
+    route = F.when(F.col("lang") == "fr", F.concat(F.lit("r"), (i % 2).cast("string"))).when(F.col("lang") != "de", F.concat(F.lit("r"), (i % 4).cast("string")))
+    d = t.read("documents").withColumn("operator", F.col("n_chars") % 5).withColumn("route", route)
+    return nv.concept_candidates(d, "lang", "text", "source", "doc_id", "operator", _CONCEPTS, "route", {"top_sources": ("source", 8)})
 
 
 _TERMS = ("tion", "the", "eau", "sch", "ción", "ment", "que")
@@ -219,12 +236,12 @@ def _(t):
     return out.withColumns({"recovered": F.size("recovered"), "missing": F.size("missing")})
 
 
-CTES["glo"] = ("", "SELECT lower(split_part(p_name,' ',1)) AS term, p_type AS kind FROM part")
+CTES["glo"] = ("", "SELECT unnest(string_split(lower(p_name),' ')) AS term, p_type AS kind FROM part")
 
 
 @query("A49_glossary", "term:s frequency:i kind:s", "SELECT term, sum(n) AS frequency, arg_min(kind, (-n, kind)) AS kind FROM (SELECT term, kind, count(*) AS n FROM glo GROUP BY 1,2) GROUP BY 1", "glo")
 def _(t):
-    return nv.glossary(t.read("part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("term"), F.col("p_type").alias("kind")), "term", "kind")
+    return nv.glossary(t.read("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"), F.col("p_type").alias("kind")), "term", "kind")
 
 
 @query("A51_quantiles", "o_orderstatus:s quantile:d value:d4",

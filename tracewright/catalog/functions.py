@@ -239,9 +239,9 @@ def _(t):
 
 
 @query("W08_collapse_array", "conv_id:i collapsed:l", f"""SELECT conv_id, {_collapse_sql('a')} AS collapsed FROM (
-  SELECT conv_id, list(substr(text,1,1) ORDER BY turn) AS a FROM conversations GROUP BY 1)""")
+  SELECT conv_id, list(role || ' ' || text ORDER BY turn) AS a FROM conversations GROUP BY 1)""")
 def _(t):
-    packed = F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 1).alias("v"))))
+    packed = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(" "), "text").alias("v"))))
     c = t.read("conversations").groupBy("conv_id").agg(F.transform(packed, lambda x: x["v"]).alias("a"))
     return c.select("conv_id", ar.collapse("a").alias("collapsed"))
 

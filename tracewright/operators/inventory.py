@@ -114,10 +114,24 @@ def audit_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(rows).alias("_r")).select("_r.*")
 
 
+def top_list(hits: DataFrame, by: Sequence[str], col: str, k: int, name: str) -> DataFrame:
+    """The k most frequent values per group as ``value:count | ...``, the smaller value first on a tie."""
+    counts = hits.filter(F.coalesce(F.col(col), F.lit("")) != "").groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by).orderBy(F.col("_n").desc(), col)
+    best = counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    packed = F.array_sort(F.collect_list(F.struct("_r", F.concat(F.col(col), F.lit(":"), F.col("_n").cast("string")).alias("v"))))
+    return best.groupBy(*by).agg(F.array_join(F.transform(packed, lambda x: x["v"]), " | ").alias(name), F.count(F.lit(1)).alias(f"{name}_shown"))
+
+
 def concept_candidates(obs: DataFrame, family: str, text: str, session: str, segment: str, operator: str,
-                       rules: Mapping[str, Mapping[str, Sequence[str]]], min_segments: int = 5,
-                       min_sessions: int = 2, min_operators: int = 2) -> DataFrame:
-    """Concepts found in texts of each family with a support gate."""
+                       rules: Mapping[str, Mapping[str, Sequence[str]]], route: str, lists: Mapping[str, tuple[str, int]] | None = None,
+                       min_segments: int = 5, min_sessions: int = 2, min_operators: int = 2, max_routes: int = 2,
+                       shown_segments: int = 15) -> DataFrame:
+    """Concepts found in texts of each family.
+
+    Below the support gate a concept is BELOW_GATE; above it, PROCESS_CANDIDATE when its three most frequent
+    routes are at most ``max_routes`` different ones, else REVIEW.  ``lists`` adds top lists: name -> (column, k).
+    """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     names = []
     for fam, concepts in rules.items():
@@ -126,12 +140,25 @@ def concept_candidates(obs: DataFrame, family: str, text: str, session: str, seg
             for w in words:
                 hit = hit | F.contains(low, F.lit(w))
             names.append(F.when((F.col(family) == fam) & hit, F.lit(concept)))
-    hits = obs.select(family, session, segment, operator, F.explode(F.array_compact(F.array(*names))).alias("concept"))
-    out = hits.groupBy(family, "concept").agg(
+    wanted = {"top_routes": (route, 3), **(lists or {})}
+    columns = dict.fromkeys([session, segment, operator, *[c for c, _ in wanted.values()]])
+    hits = cut_lineage(obs.select(family, *columns, F.explode(F.array_compact(F.array(*names))).alias("concept")))
+    by = [family, "concept"]
+    out = hits.groupBy(*by).agg(
         F.count_distinct(session, segment).alias("segments"), F.count_distinct(session).alias("sessions"),
         F.count_distinct(operator).alias("operators"))
+    family_segments = obs.groupBy(family).agg(F.count_distinct(session, segment).alias("_all"))
+    out = out.join(family_segments, family).withColumn("share_pct", 100.0 * F.col("segments") / F.col("_all")).drop("_all")
+    for name, (col, k) in wanted.items():
+        out = out.join(top_list(hits, by, col, k, name), by, "left")
+    segments = hits.select(*by, segment).distinct()
+    w = Window.partitionBy(*by).orderBy(segment)
+    first = segments.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= shown_segments)
+    out = out.join(first.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(segment)).cast("array<string>"), " | ").alias("representative_segments")), by, "left")
     enough = (F.col("segments") >= min_segments) & (F.col("sessions") >= min_sessions) & (F.col("operators") >= min_operators)
-    return out.withColumn("status", F.when(enough, "PROCESS_CANDIDATE").otherwise("REVIEW"))
+    few = F.coalesce("top_routes_shown", F.lit(0)) <= max_routes
+    status = F.when(~enough, "BELOW_GATE").when(few, "PROCESS_CANDIDATE").otherwise("REVIEW")
+    return out.withColumn("status", status).drop(*[f"{n}_shown" for n in wanted])
 
 
 def semantic_summary(records: DataFrame, family: str, text: str, words: Sequence[str], k: int) -> DataFrame:

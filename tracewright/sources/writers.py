@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import map_json
@@ -35,11 +35,12 @@ def write_segments_jsonl(df: DataFrame, path: str, keys: list[str], start: str =
     for c, t in df.dtypes:
         if t.startswith("map"):
             out = out.withColumn(c, map_json(c))
-    out.write.mode("overwrite").json(path)
+    written = Observation()
+    out.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").json(path)
     back = df.sparkSession.read.schema(out.schema).json(path)
     found = back.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count_if(F.col("_n") > 1).alias("dups")).first()
-    if found["rows"] != df.count() or found["dups"]:
+    if found["rows"] != written.get["rows"] or found["dups"]:
         raise CheckFailed(f"re-read of {path}: {found['rows']} rows, {found['dups']} duplicate keys")
     return back
 
