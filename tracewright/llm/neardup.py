@@ -8,8 +8,10 @@ four independent trees miss it with probability 2e-5 at most.  A node of few set
 are much alike (branching would not part them), is compared exhaustively, in blocks.
 
 Comparison in a block is by minwise tokens; it names a spanning forest of likely links instead of all
-pairs.  Links are confirmed on the full sets.  Where a forest link fails, the block is compared again
-and every likely pair between parts that are still apart is confirmed too, so no pair is given up.
+pairs.  Links are confirmed on the full sets.  A node larger than a block is first compared chunk by
+chunk, then by one set for each part found.  What is left is exact: where a forest link failed or a node
+had several chunks, every set outside the node's largest part is compared with all its sets, and each
+likely pair of sets of different parts is decided on the full sets, until no such pair is left.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import fresh, small_batches, words
 from tracewright.llm.components import components
+from tracewright.llm.vectors import by_group
 from tracewright.session import staging_path
 
 TOKENS, TREES, BRANCHES = 128, 4, 2
@@ -122,19 +125,19 @@ def _branched(key: Column, tokens: Column) -> Column:
     return F.arrow_udf(run, "array<long>")(key, tokens)
 
 
-def _blocks(sets: DataFrame) -> DataFrame:
-    """(block, node): the sets to compare with each other, from all trees; ``sets`` has node, tokens, roots."""
+def _met(sets: DataFrame) -> DataFrame:
+    """(key, size, node): the nodes of all trees whose sets are compared; ``sets`` has node, tokens, roots."""
     rows = sets.select("node", F.explode("roots").alias("key"))
     found = []
     for depth in range(DEEPEST + 1):
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = _staged(rows.join(sizes, "key"), "sized")
-        found.append(sized.filter(F.col("size") <= SMALL).select(F.col("key").alias("block"), "node"))
+        sized = _staged(rows.join(sizes, "key").select("key", "size", "node"), "sized")
+        found.append(sized.filter(F.col("size") <= SMALL))
         large = sized.filter(F.col("size") > SMALL)
         if large.isEmpty():
             break
         if depth == DEEPEST:
-            found.append(_dense(large))
+            found.append(large)
             break
         grown = (large.join(sets.select("node", "tokens"), "node")
                  .select("key", "size", "node", F.posexplode(_branched(F.col("key"), F.col("tokens"))).alias("branch", "child")))
@@ -143,25 +146,26 @@ def _blocks(sets: DataFrame) -> DataFrame:
         alike = (grown.groupBy("key", "size", "branch", "child").agg(F.count("*").alias("n"))
                  .groupBy("key").agg((F.sum(F.col("n") * F.col("n")) / (F.first("size") * F.first("size") * F.lit(float(BRANCHES)))).alias("alike")))
         dense = _staged(alike.filter(F.col("alike") >= DENSE).select("key"), "dense")
-        found.append(_dense(large.join(dense, "key", "left_semi")))
+        found.append(large.join(dense, "key", "left_semi"))
         rows = grown.join(dense, "key", "left_anti").select("node", F.col("child").alias("key"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    out = _staged(out, "met")
-    # the same sets often meet in several nodes; one block of them is enough
-    listed = out.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"),
-                                      F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
-    once = listed.filter("n > 1").groupBy("n", "s", "x").agg(F.min("block").alias("block")).select("block")
-    return out.join(once, "block", "left_semi")
+    return _once_each(_staged(out, "met"), "key")
 
 
-def _dense(large: DataFrame) -> DataFrame:
-    """Pairs of chunks of a large node as blocks, each set in as many blocks as there are chunks."""
-    chunks = F.ceil(F.col("size") / F.lit(BLOCK))
-    own = F.pmod(F.xxhash64("node", "key"), chunks)
-    return (large.select("node", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
-            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node"))
+def _once_each(rows: DataFrame, key: str) -> DataFrame:
+    """Of groups that hold the same nodes, one; groups of one node are dropped."""
+    listed = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"),
+                                   F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    once = listed.filter("n > 1").groupBy("n", "s", "x").agg(F.min(key).alias(key)).select(key)
+    return rows.join(once, key, "left_semi")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(block, key, node): each set of a node (key, size) in one block, large nodes dealt out."""
+    chunk = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / F.lit(BLOCK)))
+    return rows.select(F.when(F.col("size") <= BLOCK, F.col("key")).otherwise(F.xxhash64("key", chunk)).alias("block"), "key", "node")
 
 
 def _staged(df: DataFrame, name: str) -> DataFrame:
@@ -187,54 +191,73 @@ def forest(tokens: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def crossing(tokens: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
-    """All likely links between rows of different parts."""
-    links = []
+def crossing(tokens: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later rows of other parts that are likely links."""
     for i in range(len(tokens) - 1):
         likely = ((tokens[i + 1:] == tokens[i]).mean(1) >= LIKELY) & (part[i + 1:] != part[i])
-        links += [(i, i + 1 + int(j)) for j in np.flatnonzero(likely)]
-    return links
+        if likely.any():
+            yield i, i + 1 + np.flatnonzero(likely)
 
 
-def _compared(blocks: DataFrame, parts: bool) -> DataFrame:
-    """(block, a, b) of every block; rows stream in order of the block."""
+def _forests(block, rows):
+    """Likely links (block, a, b) of one block: rows (node, tokens)."""
+    node = [r[0] for r in rows]
+    pairs = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in forest(_stack(rows)) if node[i] != node[j]]
+    return _links(block, pairs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: tuple[list, list, list] = ([], [], [])
 
-        def compare(block, rows):
-            if len(rows) < 2:
-                return
-            node = np.array([r[0] for r in rows])
-            tokens = np.frombuffer(b"".join(r[1] for r in rows), np.uint32).reshape(-1, TOKENS)
-            links = crossing(tokens, np.array([r[2] for r in rows])) if parts else forest(tokens)
-            for i, j in links:
-                if node[i] != node[j]:
-                    made[0].append(block)
-                    made[1].append(int(min(node[i], node[j])))
-                    made[2].append(int(max(node[i], node[j])))
+def _involved(block, rows):
+    """The sets of a block that have a likely link to another part: rows (node, tokens, part)."""
+    part, node = np.array([r[2] for r in rows]), [r[0] for r in rows]
+    some = {k for i, others in crossing(_stack(rows), part) for k in (i, *others.tolist())}
+    return _links(block, [(node[k], int(part[k])) for k in sorted(some)])
 
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["block", "a", "b"])
-            for x in made:
-                x.clear()
-            return batch
 
-        now, rows = None, []
-        for batch in batches:
-            for block, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if block != now:
-                    compare(now, rows)
-                    now, rows = block, []
-                    if len(made[0]) > 20_000:
-                        yield flush()
-                rows.append(row)
-        compare(now, rows)
-        yield flush()
+def _decided(percent: int):
+    def work(block, rows):
+        """Links between parts, on full sets, until the likely pairs left are inside a part: rows (node, tokens, part, set)."""
+        tokens, node, up, pairs = _stack(rows), [r[0] for r in rows], {}, []
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for i, others in crossing(tokens, np.array([r[2] for r in rows])):
+            for j in others.tolist():
+                a, b = root(rows[i][2]), root(rows[j][2])
+                if a != b and similar(sets[i], sets[j], percent):
+                    up[max(a, b)] = min(a, b)
+                    pairs.append((min(node[i], node[j]), max(node[i], node[j])))
+        return _links(block, pairs)
+
+    return work
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _stack(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(r[1] for r in rows), np.uint32).reshape(-1, TOKENS)
 
-    cols = ["block", "node", "tokens"] + ["part"] * parts
-    dealt = blocks.select(*cols).repartition(F.xxhash64("block")).sortWithinPartitions("block", "node")
-    return dealt.mapInArrow(run, "block long, a long, b long")
+
+def _links(block, pairs):
+    if not pairs:
+        return None
+    a, b = zip(*pairs)
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(pairs), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["block", "a", "b"])
+
+
+def _by_block(rows: DataFrame, columns: list[str], work) -> DataFrame:
+    """``work`` on each block; rows stream in order of the block."""
+    dealt = rows.select("block", *columns).repartition(F.xxhash64("block")).sortWithinPartitions("block", "node")
+    return dealt.mapInArrow(by_group(work, 1 + len(columns)), "block long, a long, b long")
 
 
 def _full_set(text: Column, size: int) -> Column:
@@ -251,17 +274,34 @@ def _agrees(a: Column, b: Column, percent: int) -> Column:
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            out = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.array(out, pa.bool_())
+            yield pa.array([similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                            for x, y in zip(left, right)], pa.bool_())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "boolean")(a, b)
 
 
+def _sets_of(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, set) of the rows whose ids are among ``nodes``."""
+    some = rows.join(nodes, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "t"])
+    return some.select(F.col("id").alias("node"), _full_set(F.col("t"), size).alias("set"))
+
+
+def _with_sets(full: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``full`` with the sets of more nodes."""
+    more = _staged(nodes.join(full.select("node"), "node", "left_anti"), "more")
+    return full if more.isEmpty() else full.unionByName(_staged(_sets_of(rows, more, size), "full"))
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    left, right = (full.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(_agrees(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
+
+
+def _with_part(rows: DataFrame, part: DataFrame) -> DataFrame:
+    return rows.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -281,32 +321,43 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     some = told.filter("id is not null and tokens is not null")
     # equal sets are one node, named by the smallest id; their tokens are equal
     sets = _staged(some.groupBy("digest").agg(F.min("id").alias("node"), F.first("tokens").alias("tokens"), F.first("roots").alias("roots")), "sets")
-    blocks = _staged(_blocks(sets), "blocks")
     tokens = sets.select("node", "tokens")
-    likely = _staged(_compared(blocks.join(tokens, "node"), False), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    full = _staged(rows.join(ids, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "t"])
-                   .select(F.col("id").alias("node"), _full_set(F.col("t"), shingle).alias("set")), "full")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left, right = (full.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").filter(_agrees(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
-
-    links = _staged(confirmed(likely.select("a", "b").distinct()), "links")
-    failed = likely.join(links, ["a", "b"], "left_anti")
-    if not failed.isEmpty():
+    met = _staged(_met(sets), "nodes")
+    blocks = _dealt(met)
+    likely = _staged(_by_block(blocks.join(tokens, "node"), ["node", "tokens"], _forests), "likely")
+    full = _staged(_sets_of(rows, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "full")
+    links = _staged(_confirmed(likely.select("a", "b").distinct(), full, percent), "links")
+    part = components(links, "a", "b")
+    # large nodes: one set of each part found in the chunks, compared again
+    large = met.filter(F.col("size") > BLOCK)
+    firsts = _with_part(large, part).groupBy("key", "part").agg(F.min("node").alias("node"))
+    several = firsts.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    between = _staged(_by_block(_dealt(firsts.join(several, "key")).join(tokens, "node"), ["node", "tokens"], _forests).select("a", "b").distinct(), "between")
+    if not between.isEmpty():
+        full = _with_sets(full, rows, between.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
+        links = _staged(links.unionByName(_confirmed(between, full, percent)), "links")
         part = components(links, "a", "b")
-        # nodes the confirmed links do not join; only blocks with such a forest link are compared again
-        ends = (failed.join(part.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-                .join(part.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-                .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
-        again = (blocks.join(ends.select("block").distinct(), "block", "left_semi").join(part, "node", "left")
-                 .withColumn("part", F.coalesce("component", "node")).join(tokens, "node"))
-        pairs = _staged(_compared(again, True).select("a", "b").distinct().join(likely.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
-        more = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(full, "node", "left_anti")
-        extra = rows.join(more, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "t"])
-        full = full.unionByName(extra.select(F.col("id").alias("node"), _full_set(F.col("t"), shingle).alias("set")))
-        links = links.unionByName(confirmed(pairs))
+    # the exact rest: nodes of several chunks, and those where a forest link failed
+    failed = likely.join(links, ["a", "b"], "left_anti").select("block").distinct()
+    open_keys = blocks.join(failed, "block", "left_semi").select("key").unionByName(large.select("key")).distinct()
+    parted = _staged(_with_part(met.join(open_keys, "key", "left_semi"), part), "parted")
+    by_part = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
+    main = by_part.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("n").alias("all"))
+    parted = parted.join(main.filter("rest > 0"), "key")
+    # every set outside the largest part, by chunks, with all sets of the node, by chunks
+    rests, alls = F.ceil(F.col("rest") / F.lit(BLOCK)), F.ceil(F.col("all") / F.lit(BLOCK))
+    hashed, zero = F.xxhash64("node", "key"), F.lit(0).cast("long")
+    pairs_of_chunks = F.transform(F.sequence(zero, rests - 1), lambda i: F.xxhash64("key", i, F.pmod(hashed, alls)))
+    own = F.transform(F.sequence(zero, alls - 1), lambda j: F.xxhash64("key", F.pmod(hashed, rests), j))
+    where = F.when(F.col("part") == F.col("main"), pairs_of_chunks).otherwise(F.array_distinct(F.concat(pairs_of_chunks, own)))
+    rest = parted.select(F.explode(where).alias("block"), "node", "part")
+    involved = _staged(_by_block(rest.join(tokens, "node"), ["node", "tokens", "part"], _involved)
+                       .select("block", F.col("a").alias("node"), F.col("b").alias("part")), "involved")
+    if not involved.isEmpty():
+        involved = _once_each(involved, "block")
+        full = _with_sets(full, rows, involved.select("node").distinct(), shingle)
+        decided = _by_block(involved.join(tokens, "node").join(full, "node"), ["node", "tokens", "part", "set"], _decided(percent))
+        links = links.unionByName(decided.select("a", "b").distinct())
     found = components(links, "a", "b")
     # an id whose several texts were sets of their own is one document
     classes = sets.select("node", "digest").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
