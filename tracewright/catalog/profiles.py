@@ -9,6 +9,7 @@ from tracewright.catalog.functions import actions, dom_events, signatures
 from tracewright.functions import text as tx
 from tracewright.operators import profiles as pf
 from tracewright.operators import sequences as sq
+from tracewright.operators.evaluation import quantiles
 from tracewright.operators.segments import ranked_ids
 from tracewright.operators.timeline import value_bucket
 
@@ -48,6 +49,14 @@ def _(t):
     return pf.token_sets(t.assigned(), SEG)
 
 
+@query("A09_form_fields", "session_id:i segment_index:i form_fields:l",
+       """SELECT session_id, segment_index, coalesce(list_sort(list(DISTINCT 'field:' || chr(CAST(97+k%5 AS INTEGER)) || ':' || chr(CAST(97+k%3 AS INTEGER))) FILTER (WHERE event_type='browser_form_input')),[]) AS form_fields FROM asg GROUP BY 1,2""", "asg")
+def _(t):
+    k = F.col("k")
+    events = t.assigned().withColumn("field", F.concat(F.char(97 + k % 5), F.lit(" = "), F.char(97 + k % 3)))
+    return pf.token_sets(events, SEG, "field").select(*SEG, "form_fields")
+
+
 CTES["fam"] = ("prof", """SELECT *, ln(1+segment_count)*ln(1+session_count)*(1+transfer_rate)*(1+0.15*ln(1+total_duration)) AS screening_score FROM (
   SELECT family_signature, count(*) AS segment_count, count(DISTINCT session_id) AS session_count, sum(duration_seconds) AS total_duration, avg(duration_seconds) AS mean_duration,
    min(duration_seconds) AS min_duration, max(duration_seconds) AS max_duration, quantile_cont(duration_seconds,0.5) AS median_duration, sum(event_count) AS total_events,
@@ -113,6 +122,12 @@ def _(t):
     return pf.duration_diagnostics(t.read("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")
 
 
+@query("A15_overall_percentiles", "quantile:d value:d4",
+       " UNION ALL ".join(f"SELECT {q} AS quantile, quantile_cont(o_totalprice,{q}) AS value FROM orders" for q in (0.5, 0.75, 0.9, 0.95, 0.99)))
+def _(t):
+    return quantiles(t.read("orders"), "o_totalprice", [0.5, 0.75, 0.9, 0.95, 0.99])
+
+
 @query("W13_group_stats", "o_orderkey:i family_count:i family_mean:d3 family_std:d3 family_min:d family_max:d", _diag)
 def _(t):
     return pf.with_group_stats(t.read("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")

@@ -13,7 +13,7 @@ from tracewright.functions.classify import (duration_bucket, family_signature, n
                                             transfer_class)
 from tracewright.functions.columns import contains_any, count_class, is_class, ratio
 from tracewright.functions.scores import screening_score
-from tracewright.functions.text import norm_token, norm_url_path
+from tracewright.functions.text import field_token, norm_token, norm_url_path
 from tracewright.operators.sequences import bounded_sequence, ordered_distinct
 from tracewright.operators.timeline import as_list, exact_quantiles, value_bucket
 from tracewright.operators.segments import ranked_ids
@@ -93,8 +93,12 @@ def _important(step: Column) -> Column:
     return hit
 
 
-def token_sets(assigned: DataFrame, key) -> DataFrame:
-    """Structural token sets and tool flags per interval."""
+def token_sets(assigned: DataFrame, key, field: str | None = None) -> DataFrame:
+    """Structural token sets and tool flags per interval.
+
+    ``field`` names a column with the ``name=value`` of form input events; it adds ``form_fields``.  A set
+    is one value per interval by definition: as large as the interval's distinct tokens.
+    """
     key = as_list(key)
     app, title = F.lower(F.coalesce("app", F.lit(""))), F.lower(F.coalesce("window_title", F.lit("")))
 
@@ -104,8 +108,9 @@ def token_sets(assigned: DataFrame, key) -> DataFrame:
     def tokens(c: Column) -> Column:
         return F.sort_array(F.collect_set(F.nullif(c, F.lit(""))))
 
+    form = [tokens(F.when(is_class("event_type", "browser_form"), field_token(field))).alias("form_fields")] if field else []
     return assigned.groupBy(*key).agg(
-        tokens(norm_url_path("url")).alias("url_paths"), tokens(norm_token("app")).alias("apps"),
+        *form, tokens(norm_url_path("url")).alias("url_paths"), tokens(norm_token("app")).alias("apps"),
         tokens(norm_token("window_title")).alias("window_titles"),
         F.max(is_class("event_type", "clipboard")).alias("clipboard"), seen("word").alias("word"),
         seen("notepad").alias("notepad"), seen("excel").alias("excel"))
