@@ -39,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Five-word shingles, similarity 0.8 or more.  Of rows that repeat a doc_id one stays.
     """
     kept = neardup.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
