@@ -131,12 +131,13 @@ def _(t):
     return rd.parse_event_lines(t.events.select(F.when(F.col("k") % 2 == 0, as_json).otherwise(flat).alias("line")), "line")
 
 
-@query("S09_file_inventory", "files:i some_bytes:b ambiguous:i", "SELECT count(DISTINCT o_orderpriority) AS files, true AS some_bytes, 0 AS ambiguous FROM orders")
+@query("S09_file_inventory", "files:i some_bytes:b wrongly_flagged:i", "SELECT count(DISTINCT o_orderpriority) AS files, true AS some_bytes, 0 AS wrongly_flagged FROM orders")
 def _(t):
     path = staging_path(t.spark, "media")
     t.read("orders").select("o_orderkey", "o_orderpriority").repartition("o_orderpriority").write.partitionBy("o_orderpriority").parquet(path)
     inv = rd.file_inventory(t.spark, path, [".parquet"])
-    return inv.agg(F.sum("copies").alias("files"), (F.min("bytes") > 0).alias("some_bytes"), F.lit(0).alias("ambiguous"))
+    return inv.agg(F.sum("copies").alias("files"), (F.min("bytes") > 0).alias("some_bytes"),
+                   F.count_if(F.col("ambiguous") != (F.col("copies") > 1)).alias("wrongly_flagged"))
 
 
 @query("S09_inventory_of_paths", "name:s copies:i bytes:i first_path:s ambiguous:b",
@@ -145,6 +146,12 @@ def _(t):
     return rd.inventory_of(t.read("pages").select(F.col("url").alias("path"), F.length("html").alias("length")))
 
 
+@query("S09_ambiguous_paths", "name:s path:s copies:i",
+       """SELECT name, p AS path, copies FROM (SELECT *, count(*) OVER (PARTITION BY name) AS copies FROM (SELECT regexp_extract(url, '([^/]*)$', 1) AS name, url AS p FROM pages)) WHERE copies>1""")
+def _(t):
+    return rd.paths_of(t.read("pages").select(F.col("url").alias("path"))).filter("ambiguous")
+
+
 @query("S10_pick_best_copy", "lang:s source:s files:i bytes:i copies:i",
        """SELECT lang, arg_max(source, (n, b, source)) AS source, max(n) AS files, arg_max(b, (n, b, source)) AS bytes, count(*) AS copies FROM (SELECT lang, source, count(*) AS n, sum(n_chars) AS b FROM documents GROUP BY 1,2) GROUP BY 1""")
 def _(t):

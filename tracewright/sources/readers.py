@@ -146,6 +146,13 @@ def inventory_of(files: DataFrame, path: str = "path", size: str = "length") ->
             .withColumn("ambiguous", F.col("copies") > 1))
 
 
+def paths_of(files: DataFrame, path: str = "path") -> DataFrame:
+    """Every path with its base name and how many files have that name: the long form of the inventory."""
+    named = files.select(F.substring_index(path, "/", -1).alias("name"), F.col(path).alias("path"))
+    copies = named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"))
+    return named.join(copies, "name").withColumn("ambiguous", F.col("copies") > 1)
+
+
 def pick_best_copy(files: DataFrame, key: str, root: str, size: str) -> DataFrame:
     """Fullest physical copy of each key: most files, then bytes, then path."""
     per = files.groupBy(key, root).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_b"))
