@@ -12,7 +12,6 @@ its own, so a text without spaces costs n log n.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -22,10 +21,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import list_array, small_batches, tokenizer_file
+from tracewright.llm.common import kept, list_array, small_batches, tokenizer_file, uncollected
 
 SHORT = 64          # pieces up to so many bytes share a matrix of trees
-REMEMBERED = 1_500_000  # distinct pieces kept between the batches of a task
+REMEMBERED = 600_000  # distinct pieces kept between the batches of a task
 _SHIFT = 6          # a node of a short piece is rank << _SHIFT | position
 _NONE = np.int32(2 ** 31 - 1)
 
@@ -319,26 +318,15 @@ def merge_one(piece: bytes, ranks: Ranks) -> list[int]:
     return [t for t in token if t >= 0]
 
 
-_made: dict[tuple, object] = {}
-
-
-def _once(kind, *args):
-    """One object per worker process: built tables outlive the batches and tasks."""
-    key = (kind, *map(hash, args))
-    if key not in _made:
-        _made.clear()
-        _made[key] = kind(*args)
-    return _made[key]
-
-
 def encoded(text: Column, file: bytes, pattern: str | None) -> Column:
     """Token ids of a text column (array<int>); an empty or null text has none."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _once(Encoder, file, pattern) if pattern else _once(PatternEncoder, file)
-        gc.disable()  # no cycles are made, and scanning the many small strings takes long
+        encoder = kept(("bpe", hash(file), pattern), lambda: Encoder(file, pattern) if pattern else PatternEncoder(file))
         for batch in batches:
-            yield encoder.texts(batch.to_pylist())
+            with uncollected():
+                ids = encoder.texts(batch.to_pylist())
+            yield ids
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<int>")(text)
@@ -348,7 +336,7 @@ def decoded(ids: Column, file: bytes) -> Column:
     """Bytes of token ids; null or no ids give no bytes, an unknown id is an error."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = _once(_token_bytes, file)
+        tokens = _token_bytes(file)
         for batch in batches:
             yield pa.array([b"".join([tokens[i] for i in row or ()]) for row in batch.to_pylist()], pa.binary())
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,33 @@ def tokenizer_file(name: str, path: str | None = None) -> bytes:
         return f.read()
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple | None, make=None):
+    """What a worker process keeps between tasks: one object, made anew when another key asks.
+
+    An operator that keeps nothing calls it with None, so that what an earlier stage kept is released.
+    """
+    if key is None:
+        _kept.clear()
+        return None
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+@contextmanager
+def uncollected():
+    """Work that makes very many small objects and no cycles, without scans for cycles meanwhile."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def list_array(values: np.ndarray, lengths: Sequence[int], kind: pa.DataType) -> pa.ListArray:
     """An Arrow list column from its flat values and the length of each row."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

@@ -8,7 +8,6 @@ its words, since no piece crosses a word.  Probabilities are learned by expectat
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import fresh, small_batches, tokenizer_file
+from tracewright.llm.common import fresh, kept, small_batches, tokenizer_file, uncollected
 
 UNKNOWN = "und"
 LONGEST = 12      # characters of a piece; longer pieces of the vocabulary are not used
@@ -177,36 +176,47 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     return learn([(t, k) for k, found in sorted(got.items()) for _, t in sorted(found)[:per_language]], file)
 
 
-_state: dict[int, tuple] = {}
+class Scorer:
+    """Scores of words, kept between batches as rows of one matrix."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.pieces = model, Pieces(model.file)
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.scores = np.empty((0, len(self.model.languages)))
+
+    def texts(self, texts: list[str | None]) -> pa.StructArray:
+        rows = [_WORD.findall(t.lower()) if t and self.model.languages else [] for t in texts]
+        if len(self.row) > REMEMBERED:
+            self.forget()
+        new = list({w for row in rows for w in row} - self.row.keys())
+        if new:
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+            self.scores = np.concatenate([self.scores, self.model.word_scores(self.pieces, new)])
+        lang, score = [], []
+        for row in rows:
+            if not row:
+                lang.append(UNKNOWN)
+                score.append(0.0)
+                continue
+            total = self.scores[[self.row[w] for w in row]].sum(0)
+            share = np.exp(total - total.max())
+            lang.append(self.model.languages[int(total.argmax())])
+            score.append(float(share.max() / share.sum()))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
 
 def predicted(text: Column, model: LanguageModel) -> Column:
     """struct(lang, score): the likeliest language of a whole text and its probability among the learned ones."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        gc.disable()  # no cycles are made, and scanning the many small strings takes long
-        if (key := hash((model.languages, model.prob.tobytes()))) not in _state:
-            _state.clear()
-            _state[key] = Pieces(model.file), {}
-        pieces, known = _state[key]
+        scorer = kept(("language", hash((model.languages, model.prob.tobytes()))), lambda: Scorer(model))
         for batch in batches:
-            rows = [_WORD.findall(t.lower()) if t and model.languages else [] for t in batch.to_pylist()]
-            new = list({w for row in rows for w in row} - known.keys())
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list({w for row in rows for w in row})
-            known.update(zip(new, map(tuple, model.word_scores(pieces, new).tolist() if new else [])))
-            lang, score = [], []
-            for row in rows:
-                if not row:
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                total = np.fromiter((x for w in row for x in known[w]), float).reshape(len(row), -1).sum(0)
-                share = np.exp(total - total.max())
-                lang.append(model.languages[int(total.argmax())])
-                score.append(float(share.max() / share.sum()))
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+            with uncollected():
+                found = scorer.texts(batch.to_pylist())
+            yield found
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "lang string, score double")(text)

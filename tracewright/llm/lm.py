@@ -14,7 +14,6 @@ to the texts, which are then scored part by part.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import small_batches, words
+from tracewright.llm.common import kept, small_batches, words
 from tracewright.session import staging_path
 
 ORDER = 3
@@ -108,7 +107,7 @@ def _asked(bits: int):
     """Rows (block, row, text, train) to (block, first, bucket, keys, counts), a part at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
+        kept(None)
         now, first, last, part = None, 0, 0, Part()
 
         def flush():
@@ -200,7 +199,7 @@ def _scored(tokens: int, distinct: int):
     spread = tokens + SMOOTH * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
+        kept(None)
         part, ids, answers = Part(), [], []
 
         def finish():

@@ -16,7 +16,6 @@ likely pair of sets of different parts is decided on the full sets, until no suc
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import fresh, small_batches, words
+from tracewright.llm.common import kept, small_batches, uncollected, words
 from tracewright.llm.components import components
 from tracewright.llm.vectors import by_group
 from tracewright.session import staging_path
@@ -94,9 +93,10 @@ def described(text: Column, size: int) -> Column:
     """struct(n, digest, tokens, roots) of a text's shingle set; tokens and roots are null for an empty set."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        gc.disable()
+        kept(None)
         for batch in batches:
-            sets = shingle_sets(batch.to_pylist(), size)
+            with uncollected():
+                sets = shingle_sets(batch.to_pylist(), size)
             tokens = [minwise(s) if len(s) else None for s in sets]
             roots = [None] * len(sets)
             full = [i for i, t in enumerate(tokens) if t is not None]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import fresh, small_batches
+from tracewright.llm.common import fresh, kept, small_batches
 
 GRAMS = (3, 4, 5, 6)
 TABLE_BITS = 22
@@ -194,6 +194,7 @@ def scored(text: Column, model: ToxicityModel) -> Column:
     """Probability that a whole text is toxic."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept(None)
         for batch in batches:
             rows = [_WORD.findall(t.lower()) if t else [] for t in batch.to_pylist()]
             number: dict[str, int] = {}
