@@ -112,10 +112,19 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_misspelling_and_edges(spark):
-    clean = [(f"the weather in spring is mild on day {i} and people walk by the river", 0) for i in range(30)]
-    bad = [(f"on day {i} the visitor called the host a worthless idiot by the river", 1) for i in range(30)]
+    rng = np.random.default_rng(4)
+    vocabulary = ("the a on of spring day river people walk mild weather market garden stone bread winter music letter window bridge child "
+                  "teacher paper evening green early table silver forest cloud").split()
+    def sentence():
+        return rng.choice(vocabulary, 25).tolist()
+    clean = [(" ".join(sentence()), 0) for _ in range(120)]
+    bad = []
+    for k in range(80):
+        words = sentence()
+        words.insert(int(rng.integers(0, 25)), ("idiot", "moron")[k % 2])
+        bad.append((" ".join(words), 1))
     model = toxicity.learn(clean + bad, 0.3)
-    docs = spark.createDataFrame([(1, "what an idiiot he is"), (2, "a mild day by the river"), (3, None), (4, ""), (5, "..."), (2, "a mild day by the river")],
+    docs = spark.createDataFrame([(1, "a idiott on the bridge"), (2, "a mild day on the river"), (3, None), (4, ""), (5, "..."), (2, "a mild day on the river")],
                                  "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert got[1] > 0.3 > got[2] and got[3] == got[4] == got[5] == pytest.approx(0.3)
