@@ -161,3 +161,23 @@ def test_neighbours_of_few(spark):
     got = ann.nearest(table, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5, 6, 7, 8]
     assert ann.nearest(table.filter("false"), F.lit(True)).count() == 0
+
+
+def exact_neighbours(x, q, k=20):
+    score = x.astype(float) @ x[q].astype(float)
+    score[q] = -np.inf
+    return sorted(range(len(x)), key=lambda v: (-score[v], v))[:k]
+
+
+@pytest.mark.parametrize("n", [1000, 3000])
+def test_neighbours_from_a_poor_start(spark, monkeypatch, n):
+    """Three partitions with leaves of 16: rounds go on until the graph and each search have settled."""
+    monkeypatch.setattr(ann, "TREES", 3)
+    monkeypatch.setattr(ann, "LEAF", 16)
+    x = np.random.default_rng(4).normal(size=(n, 24)).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.nearest(table, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = sum(len(got[q] & set(exact_neighbours(x, q))) for q in range(0, n, 50))
+    assert hits >= 0.97 * 20 * (n // 50)
