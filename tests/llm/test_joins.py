@@ -181,3 +181,17 @@ def test_neighbours_from_a_poor_start(spark, monkeypatch, n):
         got[r["query_id"]].add(r["vec_id"])
     hits = sum(len(got[q] & set(exact_neighbours(x, q))) for q in range(0, n, 50))
     assert hits >= 0.97 * 20 * (n // 50)
+
+
+def test_neighbours_of_outliers(spark, monkeypatch):
+    """Vectors alone in their leaves, small groups of their own and a rare length still get k rows, the exact ones."""
+    monkeypatch.setattr(ann, "LEAF", 64)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.ones((1500, 16)) + rng.normal(size=(1500, 16)) * 0.02, -np.eye(16)[:3] * 5, -np.ones((5, 16)) + rng.normal(size=(5, 16)) * 0.01]).astype(np.float32)
+    rare = rng.normal(size=(30, 7)).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(2000 + k, v.tolist()) for k, v in enumerate(rare)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id") >= 1500).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert all(got[q] == exact_neighbours(x, q) for q in range(1500, 1508))
+    assert all(len(got[2000 + q]) == 20 for q in range(30))
