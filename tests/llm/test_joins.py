@@ -195,3 +195,17 @@ def test_neighbours_of_outliers(spark, monkeypatch):
         got[r["query_id"]].append(r["vec_id"])
     assert all(got[q] == exact_neighbours(x, q) for q in range(1500, 1508))
     assert all(len(got[2000 + q]) == 20 for q in range(30))
+
+
+def test_neighbours_almost_equal(spark, monkeypatch):
+    """A third of the vectors differ by 0.003: their order is below the rounding of 8 bits, and they overfill a leaf."""
+    monkeypatch.setattr(ann, "LEAF", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1800, 12))
+    x[:600] = x[0] + rng.normal(size=(600, 12)) * 0.003
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert sum(len(set(got[q]) & set(exact_neighbours(x, q))) for q in range(0, 600, 20)) >= 0.97 * 20 * 30
