@@ -209,3 +209,15 @@ def test_neighbours_almost_equal(spark, monkeypatch):
     for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
         got[r["query_id"]].append(r["vec_id"])
     assert sum(len(set(got[q]) & set(exact_neighbours(x, q))) for q in range(0, 600, 20)) >= 0.97 * 20 * 30
+
+
+def test_search_goes_to_the_end_of_a_chain(spark):
+    """Each node knows only the next one, and the best nodes are 40 expansions away from the query."""
+    x = np.zeros((41, 4), np.float32)
+    x[:, 0] = np.arange(1, 42)
+    links = [(i, j) for i in range(41) for j in (i - 1, i + 1) if 0 <= j < 41]
+    lists = [(i, [j for u, j in links if u == i], [x[j].tobytes() for u, j in links if u == i]) for i in range(41)]
+    edges = spark.createDataFrame([(0, 1, 2.0)], "a long, b long, score double")
+    queries = spark.createDataFrame([(0, x[0].tobytes(), 0.0)], "node long, small binary, slack double")
+    found = ann.search(queries, edges, spark.createDataFrame(lists, "u long, nodes array<long>, vectors array<binary>"), 5, np.float32)
+    assert [r["b"] for r in found.orderBy("rank").limit(5).collect()] == [40, 39, 38, 37, 36]
