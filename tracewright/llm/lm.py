@@ -89,7 +89,7 @@ class Part:
 
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers, byte plane by byte plane, compressed."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
