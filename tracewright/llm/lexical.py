@@ -212,7 +212,7 @@ def _staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def _block_best(docs: DataFrame, rows: list, k: int) -> DataFrame:
-    """(item_id, id, score): candidates for the k best documents of the items in ``rows`` (item, term, repeats)."""
+    """(item_id, rank, id, score): the k best documents of the items in ``rows`` (item, term, repeats)."""
     spark: SparkSession = docs.sparkSession
     vocabulary = {t: i for i, t in enumerate(sorted({bytes(r["term"]) for r in rows}))}
     ids = sorted({r["item"] for r in rows}, key=lambda i: (i is None, i))
@@ -232,8 +232,9 @@ def _block_best(docs: DataFrame, rows: list, k: int) -> DataFrame:
     fewer = keyed.withColumn("_at", first).filter(F.col("_at") <= k).select("hash", "m", "bag", "id")
     dealt = fewer.sortWithinPartitions("hash", "m", "bag", F.col("id").asc_nulls_last())
     found = dealt.mapInArrow(_classes(postings, k), "item long, id long, score long")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))
     names = spark.createDataFrame(list(enumerate(ids)), "item long, item_id long")
-    return found.join(names, "item").select("item_id", "id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).join(names, "item").select("item_id", "rank", "id", "score")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id", item_id: str = "item_id",
@@ -258,10 +259,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id
             part = _block_best(narrow, rows, k)
             out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "item_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))
-    ranked = out.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return ranked.select(F.col("item_id").alias(item_id), "rank", F.col("id").alias(doc_id), "score")
+        out = spark.createDataFrame([], "item_id long, rank int, id long, score long")
+    return out.select(F.col("item_id").alias(item_id), "rank", F.col("id").alias(doc_id), "score")
 
 
 def search_sql(k: int = 20) -> str:
