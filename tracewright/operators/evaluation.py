@@ -126,13 +126,16 @@ def _pairs(n: Column) -> Column:
     return d * (d - 1) / 2
 
 
-def contingency(df: DataFrame, truth: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by, truth, cluster).agg(F.count(F.lit(1)).alias("n"))
+def contingency(df: DataFrame, truth: str, cluster: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    return df.groupBy(*by, truth, cluster).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
 
 
-def cluster_quality(df: DataFrame, truth: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
-    """Purity, concentration and adjusted Rand index from the contingency table."""
-    cells = contingency(df, truth, cluster, by)
+def cluster_quality(df: DataFrame, truth: str, cluster: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Purity, concentration and adjusted Rand index from the contingency table.
+
+    ``weight`` names a column that says how many rows a row of ``df`` stands for.
+    """
+    cells = contingency(df, truth, cluster, by, weight)
     per_cluster = cells.groupBy(*by, cluster).agg(F.sum("n").alias("size"), F.max("n").alias("top"))
     sizes = per_cluster.groupBy(*by, "size").agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*by).orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -68,3 +68,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for a staged table."""
     return f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The table written as Parquet in the shared folder and read again.
+
+    Like a checkpoint it survives the loss of executors.  Its plan starts anew, with known sizes and
+    without the constraints that a loop would pile up from round to round.
+    """
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete staged tables that no later plan reads."""
+    for table in tables:
+        path = getattr(table, "_staged_path", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
