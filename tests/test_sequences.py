@@ -82,3 +82,36 @@ def test_order_evidence_and_consensus(spark):
     assert rows(support, "phase", "classification") == [("A", "COMMON_CORE"), ("B", "COMMON_CORE"), ("C", "FREQUENT")]
     got = rows(sq.consensus_order(support, sq.order_evidence(df, ["session_id", "segment_index"], "p")), "consensus_rank", "phase", "order_score")
     assert got == [(1, "A", 1), (2, "B", -1)]
+
+
+def test_fold_of_a_long_segment_and_odd_keys(spark):
+    """10^6 events of one segment in about 400 pieces, long phases and changing routes; a null key; times that tie."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    fams = ["BROWSER", "BROWSER_FORM", "TRANSFER", "DOCUMENT", "CONTEXT", "DESKTOP_INPUT"]
+    n = 1_000_000
+    rng = np.random.default_rng(6)
+    fam = np.where(rng.random(n) < 0.7, "BROWSER", rng.choice(fams, n))
+    app = np.where(rng.random(n) < 0.999, "Browser", rng.choice(["Word", ""], n))
+    route = np.char.add("/r", (np.arange(n) // 3000).astype(str)).astype(object)
+    route[rng.random(n) < 0.2] = "UNKNOWN_ROUTE"
+    ev = list(zip((np.arange(n) // 2).tolist(), fam.tolist(), app.tolist(), route.tolist()))
+    small = ev[:5000]
+    import pandas as pd
+    frame = pd.DataFrame(ev + small, columns=["t", "action_family", "app", "route"])
+    frame["id"], frame["k"] = np.concatenate([np.arange(n), np.arange(5000)]), ["s"] * n + [None] * 5000
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    df = spark.createDataFrame(frame)
+    got = sq.fold_phases(df, "k", "t", "id", 1300).select("k", "id", "phase_order_id").toPandas().sort_values(["id"])
+    for events, key in ((ev, "s"), (small, None)):
+        want, now, memo = [], None, {}
+        for i, (_, f, a, r) in enumerate(events):
+            if now is not None and ((f, a, r), now[1]) not in memo:
+                memo[(f, a, r), now[1]] = sq.absorbed(f, a, r, now[1])
+            if now is None or not memo[(f, a, r), now[1]]:
+                now = (i, (f, a, r))
+            want.append(now[0])
+        mine = got[got["k"].isna()] if key is None else got[got["k"] == key]
+        assert (mine["phase_order_id"].to_numpy() == np.array(want)).all() and len(mine) == len(want)
+    assert sq.fold_phases(df.limit(0), "k", "t", "id", 1300).count() == 0
+    assert df.filter(F.col("k").isNull()).count() == 5000

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright import vocab
 from tracewright.functions.columns import first_match
+from tracewright.operators.folding import absorbed, fold_phases  # noqa: F401
 from tracewright.operators.timeline import (as_list, exact_quantiles, floor_div, in_groups, rank_in_buckets,
                                             with_next, with_previous)
 from tracewright.session import cut_lineage
@@ -69,97 +70,6 @@ def bounded_sequence(df: DataFrame, key, ts: str, value: str, chunk: int, limit:
 
 # --- phase folding -----------------------------------------------------------------------
 
-_FOLD_IN = {"DOCUMENT", "TRANSFER", "BROWSER_FORM"}
-_WEB = {"BROWSER", "BROWSER_FORM"}
-
-
-def absorbed(family: str, app: str, route: str, opener: tuple[str, str, str]) -> bool:
-    """Whether an event stays in the phase opened by ``opener`` (class, app, route)."""
-    o_family, o_app, o_route = opener
-    same_app = not app or not o_app or app == o_app
-    if same_app and (family == o_family or family in ("DESKTOP_INPUT", "CONTEXT")):
-        return True
-    if family == "TRANSFER":
-        return o_family in _FOLD_IN
-    same_route = route == o_route or "UNKNOWN_ROUTE" in (route, o_route)
-    return family in _WEB and o_family in _WEB and same_app and same_route
-
-
-def _fold_sorted(group: list[str], columns: list[str]):
-    """Fold rows that arrive sorted by group and time; only the running opener is kept."""
-    def run(batches):
-        at, now = None, None
-        for pdf in batches:
-            keys = list(zip(*[pdf[g] for g in group]))
-            known = pdf["_in_oid"].notna().to_numpy()
-            seed = list(zip(*[pdf[f"_in_{n}"] for n in OPENER]))
-            rows = list(zip(pdf["_family"], pdf["_app"], pdf["_route"], pdf["_ts"], pdf["_oid"]))
-            opened = []
-            for i, row in enumerate(rows):
-                if keys[i] != at:
-                    at, now = keys[i], (seed[i] if known[i] else None)
-                if now is None or not absorbed(*row[:3], now[:3]):
-                    now = row
-                opened.append(now)
-            out = pdf[columns].copy()
-            for n, values in zip(OPENER, zip(*opened)):
-                out[f"_{n}_open"] = list(values)
-            yield out
-    return run
-
-
-OPENER = ("family", "app", "route", "ts", "oid")
-
-
-def fold_phases(actions: DataFrame, key, ts: str, order: str, chunk: int, family: str = "action_family",
-                app: str = "app", route: str = "route") -> DataFrame:
-    """Label each event with the opener of its phase (W11); columns phase_ts and phase_order_id.
-
-    An event joins the running phase by rules on the event that opened it, so the state runs
-    through the whole segment.  Segments are cut in time pieces that run in parallel from the
-    opener known so far; a piece whose incoming opener changed runs again until none does.
-    Rows stream through a task in sorted order, so neither a segment nor a piece is held whole.
-    ``order`` must be an integer that is unique in a segment and breaks ties of ``ts``.
-    """
-    key = as_list(key)
-    kinds = dict(zip(OPENER, ("string", "string", "string", "long", "long")))
-    rows = (actions.select(*key, F.col(ts).cast("long").alias("_ts"), F.col(order).cast("long").alias("_oid"),
-                           F.coalesce(family, F.lit("")).alias("_family"), F.coalesce(app, F.lit("")).alias("_app"),
-                           F.coalesce(route, F.lit("")).alias("_route"))
-            .withColumn("_piece", floor_div(F.col("_ts"), chunk)))
-    rows = cut_lineage(rows)
-    group = [*key, "_piece"]
-    unknown = {f"_in_{n}": F.lit(None).cast(k) for n, k in kinds.items()}
-    schema = rows.withColumns({f"_{n}_open": F.lit(None).cast(k) for n, k in kinds.items()}).schema
-    run = _fold_sorted(group, rows.columns)
-
-    def fold(table: DataFrame) -> DataFrame:
-        return in_groups(table, group, ["_ts", "_oid"]).mapInPandas(run, schema)
-
-    def handed_on(done: DataFrame) -> DataFrame:
-        opener = F.struct(*[F.col(f"_{n}_open").alias(n) for n in OPENER])
-        last = done.groupBy(*group).agg(F.max_by(opener, F.struct("_ts", "_oid")).alias("_end"))
-        w = Window.partitionBy(*key).orderBy("_piece")
-        return last.select(*group, F.lag("_end").over(w).alias("_in")).filter(F.col("_in").isNotNull())
-
-    done = cut_lineage(fold(rows.withColumns(unknown)))
-    known = handed_on(done).limit(0)
-    while True:
-        incoming = handed_on(done)
-        new = incoming.select(*group, F.col("_in").alias("_new"))
-        old = known.select(*group, F.col("_in").alias("_old"))
-        changed = cut_lineage(new.join(old, group, "left").filter(~F.col("_new").eqNullSafe(F.col("_old")))
-                              .select(*group, *[F.col("_new")[n].alias(f"_in_{n}") for n in OPENER]))
-        if changed.isEmpty():
-            break
-        again = fold(rows.join(changed, group))
-        done, known = cut_lineage(done.join(changed.select(*group), group, "left_anti").unionByName(again)), incoming
-    return done.select(*key, F.col("_ts").alias(ts), F.col("_oid").alias(order),
-                       F.col("_family_open").alias("phase_class"), F.col("_app_open").alias("phase_app"),
-                       F.col("_route_open").alias("phase_route"), F.col("_ts_open").alias("phase_ts"),
-                       F.col("_oid_open").alias("phase_order_id"))
-
-
 def phase_table(folded: DataFrame, key, ts: str, order: str, chunk: int) -> DataFrame:
     """One row per phase with its size, span and position in the segment."""
     key = as_list(key)
