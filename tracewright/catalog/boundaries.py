@@ -305,6 +305,41 @@ def _(t):
     return mt.local_peaks(pts, "session_id", "us", "score", 1.5, 3 * STEP, CHUNK)
 
 
+_PEAK_SCORES, _DISTANCES = [1.5, 2.0, 2.5, 3.0], [STEP, 2 * STEP, 3 * STEP, 6 * STEP]
+CTES["pks"] = ("scored", f"""SELECT session_id, threshold, min_distance, us AS predicted_ts FROM (
+ WITH RECURSIVE near AS (SELECT *, lag(score) OVER w AS a, lead(score) OVER w AS b FROM (SELECT session_id, bin_start AS us, score FROM scored) WINDOW w AS (PARTITION BY session_id ORDER BY us)),
+ pk AS (SELECT session_id, threshold, min_distance, us, row_number() OVER (PARTITION BY session_id, threshold, min_distance ORDER BY score DESC, us) AS i FROM near,
+   (SELECT unnest({_PEAK_SCORES}) AS threshold), (SELECT unnest({_DISTANCES}) AS min_distance) WHERE score>=threshold AND score>=coalesce(a,score) AND score>=coalesce(b,score)),
+ walk(session_id, threshold, min_distance, i, kept, us, ok) AS (
+  SELECT DISTINCT session_id, threshold, min_distance, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), false FROM pk
+  UNION ALL
+  SELECT session_id, threshold, min_distance, i, CASE WHEN far THEN list_append(kept, us) ELSE kept END, us, far FROM (
+   SELECT w.session_id, w.threshold, w.min_distance, p.i, w.kept, p.us, len([x for x in w.kept if abs(x-p.us)<w.min_distance])=0 AS far
+   FROM walk w JOIN pk p ON p.session_id=w.session_id AND p.threshold=w.threshold AND p.min_distance=w.min_distance AND p.i=w.i+1))
+ SELECT * FROM walk WHERE ok)""")
+_peak_runs = " UNION ALL ".join(f"SELECT {s} AS threshold, {d} AS min_distance, error FROM ({greedy_sql(TOL, f'(SELECT * FROM pks WHERE threshold={s} AND min_distance={d})')})"
+                                for s in _PEAK_SCORES for d in _DISTANCES)
+CTES["pkq"] = ("pks", f"""SELECT threshold, min_distance, coalesce(predicted,0) AS predicted, truth, coalesce(tp,0) AS tp, coalesce(tp/predicted,0) AS precision, coalesce(tp/truth,0) AS recall, coalesce(2.0*tp/(predicted+truth),0) AS f1, mean_error
+  FROM (SELECT unnest({_PEAK_SCORES}) AS threshold) CROSS JOIN (SELECT unnest({_DISTANCES}) AS min_distance) CROSS JOIN (SELECT count(*) AS truth FROM ev WHERE event_type='app_switch')
+  LEFT JOIN (SELECT threshold, min_distance, count(*) AS predicted FROM pks GROUP BY 1,2) USING (threshold, min_distance)
+  LEFT JOIN (SELECT threshold, min_distance, count(*) AS tp, avg(error) AS mean_error FROM ({_peak_runs}) GROUP BY 1,2) USING (threshold, min_distance)""")
+
+
+def _peak_sweep(t: Tables):
+    pts = scored_bins(t).select("session_id", F.col("bin_start").alias("us"), "score")
+    return ev.sweep_peaks(pts, _gt(t), "session_id", "us", "score", "gt_id", _PEAK_SCORES, _DISTANCES, TOL, CHUNK)
+
+
+@query("A25_sweep_peaks", "threshold:d min_distance:i predicted:i truth:i tp:i precision:d recall:d f1:d mean_error:d3", "SELECT * FROM pkq", "pkq")
+def _(t):
+    return _peak_sweep(t)
+
+
+@query("A25_best_peaks", "threshold:d min_distance:i f1:d", "SELECT threshold, min_distance, f1 FROM pkq ORDER BY round(f1,12) DESC, threshold, min_distance LIMIT 1", "pkq")
+def _(t):
+    return ev.best_setting(_peak_sweep(t).withColumn("f1", F.round("f1", 12)), ["threshold", "min_distance"])
+
+
 CTES["qseg"] = ("prd", """SELECT session_id, us AS segment_start, nxt AS segment_end, row_number() OVER (PARTITION BY session_id ORDER BY us) AS segment_index FROM (
   SELECT *, lead(us) OVER (PARTITION BY session_id ORDER BY us) AS nxt FROM (SELECT session_id, predicted_ts AS us FROM prd JOIN sess USING (session_id) WHERE predicted_ts>session_start AND predicted_ts<session_end
    UNION SELECT session_id, session_start FROM sess UNION SELECT session_id, session_end FROM sess)) WHERE nxt>us""")

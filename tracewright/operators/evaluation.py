@@ -233,5 +233,28 @@ def sweep_merge(scored: DataFrame, gt: DataFrame, key, ts: str, score: str, gt_i
             .select(*setting, "predicted", "truth", "tp", *prf("tp", "fp", "fn"), "mean_error"))
 
 
+def sweep_peaks(scored: DataFrame, gt: DataFrame, key, ts: str, score: str, gt_id: str, thresholds: Sequence[float],
+                distances: Sequence[int], tol: int, chunk: int) -> DataFrame:
+    """Score threshold x least distance of peaks, matched within one tolerance.
+
+    Maxima are found once; threshold and distance are key columns of one suppression and one match.
+    """
+    from tracewright.operators.matching import local_maxima, match_points, suppress
+    key, setting = as_list(key), ["threshold", "min_distance"]
+    grid = {"threshold": [float(t) for t in thresholds], "min_distance": [int(d) for d in distances]}
+    maxima = local_maxima(scored.select(*key, ts, score), key, ts, score, chunk).filter(F.col(score) >= min(grid["threshold"]))
+    peaks = _as_long(with_params(maxima, **grid), "min_distance").filter(F.col(score) >= F.col("threshold"))
+    kept = suppress(peaks, [*key, *setting], ts, score, "min_distance", max(int(chunk), 2 * max(grid["min_distance"])))
+    pred = kept.withColumn("pred_id", F.col(ts).cast("long"))
+    truth = _as_long(with_params(gt.select(*key, ts, gt_id), **grid), "min_distance")
+    found = match_points(pred, truth, [*key, *setting], ts, "pred_id", gt_id, tol, chunk)
+    hits = found.groupBy(*setting).agg(F.count(F.lit(1)).alias("tp"), F.avg("error").alias("mean_error"))
+    n_pred = pred.groupBy(*setting).agg(F.count(F.lit(1)).alias("predicted"))
+    every = _as_long(with_params(_count(gt, "truth"), **grid), "min_distance")  # one row for each setting
+    return (every.join(n_pred, setting, "left").join(hits, setting, "left").na.fill({"tp": 0, "predicted": 0})
+            .withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("truth") - F.col("tp"))
+            .select(*setting, "predicted", "truth", "tp", *prf("tp", "fp", "fn"), "mean_error"))
+
+
 def _as_long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
