@@ -1,5 +1,7 @@
-import json
 
+
+import json
+import random
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -107,8 +109,49 @@ def test_manifest_reconciliation(spark):
 def test_json_search_has_no_limits(spark):
     deep = '{"n":' * 40 + '{"deep":"' + "x" * 3000 + '","empty":{},"s":"[[{{\\\"["}' + "}" * 40
     df = spark.createDataFrame([(1, deep), (2, '{"deep":2}'), (3, "7"), (4, None), (5, "[]")], "id int, j string")
-    assert [r["d"] for r in df.select(vr.nesting(F.col("j")).alias("d")).collect()] == [42, 1, 0, None, 1]
     flat = rows(vr.json_flatten(df, ["id"], "j"), "id", "leaf", "value")
     assert flat == [(1, "deep", "x" * 3000), (1, "s", '[[{{"['), (2, "deep", "2"), (3, "", "7")]
     assert rows(vr.json_find(df, ["id"], "j", ["empty", "deep"]), "id", "leaf") == [(1, "deep"), (1, "empty"), (2, "deep")]
     assert rows(vr.find_records(df, ["id"], "j", ["deep"], ["deep"]), "id", "deep") == [(1, "x" * 3000), (2, "2")]
+
+
+def test_json_deeper_and_longer_than_variants_go(spark):
+    """1,500 levels and 20 MB: texts that the variant parser refuses are walked as texts, malformed ones give nothing."""
+    n = 750
+    deep = '{"n":[1, ' * n + '{"deep":"v","list":[1.50,{"deep":null,"a.b":tru}]}'.replace("tru}", "true}") + "]}" * n
+    long = '{"deep":"' + "y" * 20_000_000 + '","z":' + "[" * 3 + '{"deep":7}' + "]" * 3 + "}"
+    bad = ['{"a":' * 1200 + "1" + "}" * 1199, '{"a":1,"a":{"deep":2}}', '{"deep":1', '{deep:1}', '{"x":[' * 1100 + '{"deep":1,"deep":2}' + "]}" * 1100]
+    df = spark.createDataFrame([(1, deep), (2, long), *((3 + i, t) for i, t in enumerate(bad))], "id int, j string")
+    flat = rows(vr.json_flatten(df.filter("id != 2"), ["id"], "j", drop_leaf_regex="^n$"), "id", "path", "value")
+    root = "n[1]." * n
+    assert flat == sorted([(1, root + "deep", "v"), (1, root + "list[0]", "1.5"), (1, root + "list[1].a.b", "true")])
+    counts = vr.json_flatten(df.filter("id = 1"), ["id"], "j").groupBy("leaf").count().collect()
+    assert {r["leaf"]: r["count"] for r in counts} == {"n": n, "deep": 1, "list": 1, "a.b": 1}
+    found = vr.json_find(df, ["id"], "j", ["deep"]).select("id", "path", F.length("value").alias("n")).collect()
+    assert sorted((r["id"], r["path"], r["n"]) for r in found if r["n"]) == sorted([(1, root + "deep", 1), (2, "deep", 20_000_000), (2, "z[0][0][0].deep", 1), (1, root + "list[1].deep", 4)])
+    assert rows(vr.find_records(df.filter("id != 2"), ["id"], "j", ["list"], ["deep", "list"]), "id", "deep") == [(1, "v")]
+
+
+def test_json_walk_equals_variants(spark, monkeypatch):
+    """The same rows whether levels are opened as variants or walked as text."""
+    rng = random.Random(2)
+
+    def made(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice([1, 1.5, -0.25, 1e30, "x", "", "é\n\"q", True, None, 123456789012345678901234])
+        if kind < 0.6:
+            return [made(depth - 1) for _ in range(rng.randint(0, 3))]
+        return {rng.choice(["a", "b", "c d", "", "k"]) + str(i): made(depth - 1) for i in range(rng.randint(0, 3))}
+
+    df = spark.createDataFrame([(i, json.dumps(made(6))) for i in range(150)], "id int, j string")
+
+    def all_rows():
+        return (rows(vr.json_flatten(df, ["id"], "j"), "id", "path", "leaf", "value"), rows(vr.json_find(df, ["id"], "j", ["a0", "b1", "k0"]), "id", "path"),
+                rows(vr.find_records(df, ["id"], "j", ["a0", "k1"], ["a0", "b0", "k1"]), "id", "b0"))
+
+    want = all_rows()
+    for levels in (0, 2):
+        monkeypatch.setattr(vr, "LEVELS", levels)
+        got = all_rows()
+        assert got == want

@@ -1,64 +1,70 @@
 """Schema-less JSON: find keys and flatten scalars at any depth with VARIANT columns.
 
-The depth of the deepest text is measured first, by one aggregate over the raw text, so nothing lies
-too deep to be found.  Then one chain of explosions opens all levels: finished scalars pass through,
-and every few levels the rows are written so that a plan stays short however deep the texts are.
+A frontier of open containers is opened level by level; scalars leave as soon as they are found, so no
+row passes more levels than its own depth.  After ``LEVELS`` levels, and for texts that the variant parser
+refuses (nested over 1,000 levels, or too long), a tokenizer without such limits walks what is left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracewright import vocab
-from tracewright.session import cut_lineage
+from tracewright.session import staged
+from tracewright.sources import jsontext
 
-#: Levels opened in one plan.
-LEVELS = 6
+#: Levels opened as variants; what lies deeper is walked as text.
+LEVELS = 8
 
 
 def _is_container(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    return F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    return F.substring(F.schema_of_variant(v), 1, 5).isin("OBJEC", "ARRAY")
 
 
-def nesting(text: Column) -> Column:
-    """How deep objects and arrays of a JSON text are nested; 0 for a scalar, null for null."""
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
-    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+def _walk(df: DataFrame, keep: Sequence[str], json_col: str, interior: bool, deep: Callable) -> DataFrame:
+    """(keep, path, leaf, _v, _text) of every scalar of the texts that parse, with ``interior`` of every container too.
 
-    def step(s, c):
-        now = s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
-
-    each = F.filter(F.split(brackets, ""), lambda c: c != "")
-    return F.aggregate(each, state, step, lambda s: s["most"])
-
-
-def _walk(df: DataFrame, keep: Sequence[str], json_col: str, interior: bool) -> DataFrame:
-    """(keep, path, leaf, value) of every scalar of the texts that parse, with ``interior`` of every container too."""
-    parsed = df.select(*keep, F.col(json_col).alias("_text"), F.try_parse_json(F.col(json_col)).alias("_v")).filter(F.col("_v").isNotNull())
-    depth = parsed.agg(F.max(nesting(F.col("_text")))).first()[0] or 0
-    empty = F.lit(None).cast("variant")
-    rows = parsed.select(*keep, F.lit("").alias("path"), F.lit("").alias("leaf"), "_v", F.when(_is_container(F.col("_v")), F.col("_v")).alias("_open"))
+    ``deep`` finds values in the text of what lies below the frontier; such containers come as ``_text``.
+    """
+    # an explosion of one element keeps the optimiser from writing the text and its parsing out again at every use
+    rows = df.select(*keep, F.explode(F.array(json_col)).alias("_text")).filter(F.col("_text").isNotNull())
+    rows = rows.select(*keep, "_text", F.explode(F.array(F.try_parse_json("_text"))).alias("_v"))
+    rows = staged(rows.select(*keep, F.lit("").alias("path"), F.lit("").alias("leaf"), "_v", F.when(F.col("_v").isNull(), F.col("_text")).alias("_text"),
+                              F.coalesce(_is_container(F.col("_v")), F.lit(False)).alias("_open")), "level")
+    refused = rows.filter("_v is null").select(*keep, "path", "leaf", "_text", F.lit(False).alias("_inner"))
     tvf = SparkSession.getActiveSession().tvf
-    for level in range(depth):
-        copies = F.when(F.col("_open").isNotNull() & F.lit(interior), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-        rows = rows.withColumn("_shut", F.explode(copies)).withColumn("_open", F.when(~F.col("_shut"), F.col("_open")).otherwise(empty))
-        found = rows.lateralJoin(tvf.variant_explode_outer(F.col("_open").outer()))
-        child = F.col("value").isNotNull()
-        # the copy that was opened goes when it held nothing: the other copy stands for it
-        found = found.filter(child | F.col("_open").isNull() | ~F.lit(interior))
-        rows = found.select(
-            *keep, F.when(child, _joined(F.col("path"), F.col("key"), F.col("pos"))).otherwise(F.col("path")).alias("path"),
-            F.when(child & F.col("key").isNotNull(), F.col("key")).otherwise(F.col("leaf")).alias("leaf"),
-            F.when(child, F.col("value")).otherwise(F.col("_v")).alias("_v"),
-            F.when(child & _is_container(F.col("value")), F.col("value")).alias("_open"))
-        if level % LEVELS == LEVELS - 1 and level < depth - 1:
-            rows = cut_lineage(rows)
-    return rows.drop("_open")
+    parts, level = [], 0
+    while True:
+        parts.append(rows.filter(F.col("_v").isNotNull() & (F.lit(interior) | ~F.col("_open"))).select(*keep, "path", "leaf", "_v", F.lit(None).cast("string").alias("_text")))
+        frontier = rows.filter("_open")
+        if frontier.isEmpty():
+            texts = refused
+            break
+        if level == LEVELS:
+            # what was found on the frontier is not found again below it
+            texts = refused.unionByName(frontier.select(*keep, "path", "leaf", F.to_json("_v").alias("_text"), F.lit(True).alias("_inner")))
+            break
+        found = frontier.lateralJoin(tvf.variant_explode(F.col("_v").outer()))
+        rows = staged(found.select(
+            *keep, _joined(F.col("path"), F.col("key"), F.col("pos")).alias("path"), F.coalesce("key", "leaf").alias("leaf"), F.col("value").alias("_v"),
+            F.lit(None).cast("string").alias("_text"), _is_container(F.col("value")).alias("_open")), "level")
+        level += 1
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    if not texts.isEmpty():
+        kept = [texts.schema[k] for k in keep]
+        schema = T.StructType([*kept, T.StructField("path", T.StringType()), T.StructField("leaf", T.StringType()),
+                               T.StructField("_text", T.StringType()), T.StructField("_container", T.BooleanType())])
+        below = texts.mapInArrow(jsontext.each(deep, len(kept), to_arrow_schema(schema)), schema)
+        below = below.select(*keep, "path", "leaf", F.when(~F.col("_container"), F.try_parse_json("_text")).alias("_v"), "_text")
+        out = out.unionByName(below.withColumn("_text", F.when(F.col("_v").isNull(), F.col("_text"))))
+    return out
 
 
 def _joined(path: Column, key: Column, pos: Column) -> Column:
@@ -69,8 +75,9 @@ def _joined(path: Column, key: Column, pos: Column) -> Column:
 def json_flatten(df: DataFrame, keep: Sequence[str], json_col: str, drop_leaf_regex: str = vocab.JSON_NOISE_KEY,
                  max_len: int | None = None) -> DataFrame:
     """Scalars of a JSON column as (path, leaf, value) rows without noise keys (P11); ``max_len`` drops longer texts."""
-    nodes = _walk(df, keep, json_col, False).filter(~_is_container(F.col("_v")))
-    value = F.trim(F.try_variant_get(F.col("_v"), "$", "string"))
+    nodes = _walk(df, keep, json_col, False, jsontext.scalars)
+    # a single string too long for a variant stands as its literal
+    value = F.trim(F.coalesce(F.try_variant_get(F.col("_v"), "$", "string"), "_text"))
     out = (nodes.select(*keep, "path", "leaf", value.alias("value"))
            .filter(F.col("value").isNotNull() & (F.col("value") != "") & ~F.rlike(F.col("leaf"), F.lit(drop_leaf_regex))))
     return out if max_len is None else out.filter(F.length("value") <= max_len)
@@ -79,16 +86,17 @@ def json_flatten(df: DataFrame, keep: Sequence[str], json_col: str, drop_leaf_re
 def json_find(df: DataFrame, keep: Sequence[str], json_col: str, keys: Sequence[str], ignore_case: bool = False) -> DataFrame:
     """All values, containers too, under the given keys at any depth (P10)."""
     leaf = F.lower("leaf") if ignore_case else F.col("leaf")
-    nodes = _walk(df, keep, json_col, True).filter(leaf.isin(*[k.lower() if ignore_case else k for k in keys]))
+    wanted = [k.lower() if ignore_case else k for k in keys]
+    nodes = _walk(df, keep, json_col, True, jsontext.named(frozenset(wanted), ignore_case)).filter(leaf.isin(*wanted))
     return nodes.filter((F.col("path") != "") & ~F.endswith("path", F.lit("]"))).select(
-        *keep, "path", "leaf", F.coalesce(F.try_variant_get(F.col("_v"), "$", "string"), F.to_json("_v")).alias("value"))
+        *keep, "path", "leaf", F.coalesce("_text", F.try_variant_get(F.col("_v"), "$", "string"), F.to_json("_v")).alias("value"))
 
 
 def find_records(df: DataFrame, keep: Sequence[str], json_col: str, required_any: Sequence[str],
                  fields: Sequence[str]) -> DataFrame:
     """Objects anywhere in the JSON that hold one of the required keys, read as flat records and
     de-duplicated on all fields (S05)."""
-    nodes = _walk(df, keep, json_col, True)
+    nodes = _walk(df, keep, json_col, True, jsontext.records(frozenset([*required_any, *fields])))
 
     def get(name):
         return F.try_variant_get(F.col("_v"), f"$.{name}", "string")
