@@ -110,3 +110,24 @@ def test_value_buckets_spread(spark):
     assert df.select("b").distinct().count() > 1000
     got = [r["b"] for r in df.orderBy("v").collect()]
     assert got == sorted(got) and df.filter("v = 0").first()["b"] == 0
+
+
+def test_quantiles_of_a_narrow_range_spread(spark):
+    """10^6 distinct times within one day fall in more than 100 buckets, none of them large; quantiles stay exact."""
+    import numpy as np
+    base = 1_700_000_000_000_000
+    df = spark.range(1_000_000).select((F.lit(base) + F.col("id") * 86_400).alias("t"), F.lit(None).cast("string").alias("g"))
+    sizes = [r["n"] for r in tl.data_bucket(df.select(F.col("t").cast("double").alias("v"), "g"), ["g"], "v", "b").groupBy("b").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 100 and max(sizes) < 20_000 and sum(sizes) == 1_000_000
+    got = tl.exact_quantiles(df, [], "t", {"a": 0.0, "b": 0.123, "c": 0.5, "d": 1.0}).first()
+    want = np.quantile(base + np.arange(1_000_000) * 86_400.0, [0, 0.123, 0.5, 1])
+    assert [got[c] for c in "abcd"] == pytest.approx(want.tolist(), abs=1)
+
+
+def test_quantiles_of_uneven_values(spark):
+    import numpy as np
+    rng = random.Random(2)
+    values = {g: [rng.choice([0.0, -1.5, 1e-9, 1e12 * rng.random(), rng.gauss(0, 1)]) for _ in range(700)] for g in ("x", None)}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double")
+    for r in tl.exact_quantiles(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 0.99}).collect():
+        assert [r[c] for c in "abc"] == pytest.approx(np.quantile(values[r["g"]], [0.01, 0.5, 0.99]).tolist(), rel=1e-9)

@@ -209,6 +209,35 @@ def value_bucket(col: Column) -> Column:
     return F.when(c == 0, F.lit(0)).otherwise(F.signum(c) * size).cast("long")
 
 
+#: Buckets that a group's values are dealt in by ``exact_quantiles``: SPREAD times SPREAD.
+SPREAD = 16
+
+
+def data_bucket(rows: DataFrame, by: Sequence[str], col: str, name: str) -> DataFrame:
+    """Add a bucket that does not decrease with ``col``, of about equal size within each group.
+
+    Edges are approximate percentiles of the group's own values, one row per group; wherever the values
+    lie, they spread.  A value finds its bucket in two steps of ``SPREAD`` comparisons.
+    """
+    n = SPREAD * SPREAD
+    edges = F.percentile_approx(col, [i / n for i in range(n)], 20 * n).alias("_edges")
+    if by:
+        placed = rows.join(rows.groupBy(*by).agg(edges).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_edges"),
+                           _same(by, [f"_by{i}" for i in range(len(by))])).drop(*[f"_by{i}" for i in range(len(by))])
+    else:
+        placed = rows.crossJoin(rows.agg(edges))  # one row
+    coarse = F.greatest(F.size(F.filter(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.col("_edges")[i * SPREAD] <= F.col(col))), F.lit(1)) - 1
+    fine = F.size(F.filter(F.slice("_edges", F.col("_coarse") * SPREAD + 1, F.lit(SPREAD)), lambda e: e <= F.col(col)))
+    return placed.withColumn("_coarse", coarse).withColumn(name, (F.col("_coarse") * SPREAD + fine).cast("long")).drop("_edges", "_coarse")
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for a, b in zip(left, right):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
 def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles per group, without gathering a group anywhere.
 
@@ -216,8 +245,8 @@ def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict[str, float]) ->
     counts, and only the values covering a wanted position reach the final aggregate.
     """
     by = as_list(by)
-    counted = (by_all_keys(df).filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", value_bucket(F.col("_v"))))
+    counted = by_all_keys(df).filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = data_bucket(counted, by, "_v", "_bucket")
     per_bucket = counted.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_m"))
     g = Window.partitionBy(*by)
     shifted = per_bucket.select(
