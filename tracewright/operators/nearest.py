@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.timeline import as_list, asof
+from tracewright.operators.timeline import CHUNK, as_list, asof, floor_div
+from tracewright.session import by_all_keys, staged
 
 
 def _distances(ts: str) -> tuple[Column, Column]:
@@ -60,13 +61,43 @@ def exclude_near(events: DataFrame, anchors: DataFrame, key, ts: str, w: int, ch
 
 def nearest_features(items: DataFrame, marks: dict[str, DataFrame], key, ts: str, values: list[str],
                      chunk: int) -> DataFrame:
-    """For every item the nearest mark of each kind and its distance."""
-    out = items
-    for name, table in marks.items():
-        out = (nearest(out, table, key, ts, values, chunk)
-               .withColumn(f"nearest_{name}", F.col("near")).withColumn(f"{name}_distance", F.col("distance"))
-               .drop("near", "distance"))
-    return out
+    """For every item the nearest mark of each kind and its distance.
+
+    Items and marks of all kinds are sorted once; every kind carries its last mark before and its first
+    mark after a row along, inside a chunk by windows, across chunks by a table with a row for each chunk.
+    On a tie of distance the earlier mark is the nearest; of marks of one time the smallest by ``values``.
+    """
+    key, kinds = as_list(key), list(marks)
+    rest = [c for c in items.columns if c not in key]
+    payload = F.struct(F.col(ts).alias(ts), *[F.col(v) for v in values])
+    points = None
+    for number, table in enumerate(marks.values()):
+        one = table.select(*key, F.col(ts).alias("_ts"), F.lit(number).alias("_kind"), payload.alias("_mark"))
+        points = one if points is None else points.unionByName(one)
+    points = points.groupBy(*key, "_ts").agg(*[F.min(F.when(F.col("_kind") == k, F.col("_mark"))).alias(f"_m{k}") for k in range(len(kinds))])
+    merged = (items.select(*key, F.col(ts).alias("_ts"), F.struct(*rest).alias("_item")).unionByName(points, allowMissingColumns=True)
+              .withColumn(CHUNK, floor_div(F.col("_ts").cast("long"), chunk)))
+    rows = staged(merged, "marks")
+    across = Window.partitionBy(*key).orderBy(CHUNK)
+    before, after = across.rowsBetween(Window.unboundedPreceding, -1), across.rowsBetween(1, Window.unboundedFollowing)
+    edges = rows.groupBy(*key, CHUNK).agg(*[f(f"_m{k}").alias(f"{name}{k}") for k in range(len(kinds)) for name, f in (("_lo", F.min), ("_hi", F.max))])
+    edges = edges.select(*[F.col(c).alias(f"_e_{c}") for c in (*key, CHUNK)], *[F.last(f"_hi{k}", True).over(before).alias(f"_b{k}") for k in range(len(kinds))],
+                         *[F.first(f"_lo{k}", True).over(after).alias(f"_a{k}") for k in range(len(kinds))])
+    same = F.lit(True)
+    for c in (*key, CHUNK):
+        same = same & F.col(c).eqNullSafe(F.col(f"_e_{c}"))
+    # frames by range: marks of an item's own time are seen on the way up and on the way down
+    up, down = (Window.partitionBy(*key, CHUNK).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("_ts").asc(), F.col("_ts").desc()))
+    carried = by_all_keys(rows).select("*", *[F.last(f"_m{k}", True).over(up).alias(f"_p{k}") for k in range(len(kinds))],
+                                       *[F.last(f"_m{k}", True).over(down).alias(f"_n{k}") for k in range(len(kinds))])
+    found = carried.filter(F.col("_item").isNotNull()).join(edges, same, "left")
+    out = [*key, *[F.col("_item")[c].alias(c) for c in rest]]
+    for k, name in enumerate(kinds):
+        p, n = F.coalesce(f"_p{k}", f"_b{k}"), F.coalesce(f"_n{k}", f"_a{k}")
+        to_p, to_n = F.col("_ts") - p[ts], n[ts] - F.col("_ts")
+        use_p = to_n.isNull() | (to_p <= to_n)
+        out += [F.when(use_p, p).otherwise(n).alias(f"nearest_{name}"), F.when(use_p, to_p).otherwise(to_n).alias(f"{name}_distance")]
+    return found.select(*out)
 
 
 def bracket(intervals: DataFrame, events: DataFrame, key, start: str, end: str, ts: str,
