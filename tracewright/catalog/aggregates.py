@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright import vocab
 from tracewright.catalog.base import CHUNK, CTES, HOUR, Tables, query
 from tracewright.catalog.functions import clean_sequences, replay
 from tracewright.functions import classify as cl
@@ -12,6 +13,7 @@ from tracewright.operators import evaluation as ev
 from tracewright.operators import intervals as iv
 from tracewright.operators import inventory as nv
 from tracewright.operators import profiles as pf
+from tracewright.operators import semantics as sem
 from tracewright.operators.segments import check_contiguous
 
 SEG = ["session_id", "segment_index"]
@@ -188,6 +190,54 @@ def _(t):
     return nv.semantic_summary(t.read("documents"), "lang", "text", _TERMS, 3)
 
 
+_PHRASES = ("経費精算 申請 保留 社員番号 金額", "payroll change approved, status completed", "Leave application pending processing", "Word document: confirm and save",
+            "Excel sheet, dependent deduction, category and type", "勤怠 ステータス 確認", "", "REJECTED request, retroactive amount", "social insurance tax hold", "メモ 氏名 入力", "交通費 transportation expense submit")
+_LISTS = {"concepts": ["request", "case"], "fields": ["field"], "actions": ["action", "status"], "documents": ["document"]}
+_OTHERS = {"routes": "route", "variants": "variant"}
+
+
+def semantic_texts(t: Tables):
+    """Whole documents with a phrase of a case, a route and a variant."""
+    i = F.col("doc_id")
+    phrase = F.array(*[F.lit(p) for p in _PHRASES])[F.pmod(i, F.lit(len(_PHRASES))).cast("int")]
+    return t.read("documents").select("doc_id", "lang", "source", "n_chars", F.concat_ws(" ", phrase, "text").alias("said"), F.concat(F.lit("/r"), (i % 5).cast("string")).alias("route"),
+                                      F.when(i % 3 == 0, "WORD").when(i % 3 == 1, "EXCEL").alias("variant"), (i % 7).alias("segment"), ((i * 37) % 101 / 100.0).alias("score"))
+
+
+def _rule_list(rules) -> str:
+    return "list_distinct([x for x in [" + ", ".join(f"CASE WHEN regexp_matches(said, '(?i){p}') THEN '{v}' END" for p, v in rules) + "] if x IS NOT NULL])"
+
+
+CTES["sst"] = ("", f"""SELECT doc_id, lang, source, concat_ws(' ', [{', '.join("'" + p + "'" for p in _PHRASES)}][CAST(doc_id%{len(_PHRASES)} AS INTEGER)+1], text) AS said, '/r' || CAST(doc_id%5 AS VARCHAR) AS route,
+  CASE doc_id%3 WHEN 0 THEN 'WORD' WHEN 1 THEN 'EXCEL' END AS variant, doc_id%7 AS segment, ((doc_id*37)%101)/100.0 AS score FROM documents""")
+CTES["srec"] = ("sst", "SELECT *, " + ", ".join(f"{_rule_list(rules)} AS {kind if kind != 'case' else 'case_'}" for kind, rules in sem.RULES.items())
+                + ", " + "CASE " + " ".join(f"WHEN regexp_matches(said, '(?i){p}') THEN '{v}'" for p, v in vocab.OBJECT_RULES) + " ELSE '' END AS object"
+                + f", regexp_matches(said, '{vocab.HUMAN_GATE_TEXT}') AS human_gate FROM sst")
+
+
+@query("F23_semantic_record", "doc_id:i request:l field:l status:l action:l document:l instruction:l decision:l case_:l object:s human_gate:b",
+       "SELECT doc_id, " + ", ".join(f"list_sort({k}) AS {k}" for k in ("request", "field", "status", "action", "document", "instruction", "decision", "case_")) + ", object, human_gate FROM srec", "srec")
+def _(t):
+    made = sem.semantic_record(semantic_texts(t), "said").withColumnRenamed("case", "case_")
+    return made.withColumns({k: F.sort_array(k) for k in ("request", "field", "status", "action", "document", "instruction", "decision", "case_")})
+
+
+CTES["shit"] = ("srec", """SELECT DISTINCT doc_id, lang, list, value FROM (SELECT doc_id, lang, 'concepts' AS list, unnest(list_concat(request, case_)) AS value FROM srec UNION ALL SELECT doc_id, lang, 'fields', unnest(field) FROM srec
+  UNION ALL SELECT doc_id, lang, 'actions', unnest(list_concat(action, status)) FROM srec UNION ALL SELECT doc_id, lang, 'documents', unnest(document) FROM srec
+  UNION ALL SELECT doc_id, lang, 'routes', route FROM srec UNION ALL SELECT doc_id, lang, 'variants', variant FROM srec WHERE variant IS NOT NULL) WHERE lang IS NOT NULL""")
+
+
+@query("A34_semantic_lists", "lang:s records:i segments:i sessions:i mean_score:d concepts:s fields:s actions:s documents:s routes:s variants:s",
+       """SELECT s.*, """ + ", ".join(f"coalesce({c}, '') AS {c}" for c in [*_LISTS, *_OTHERS]) + """ FROM (SELECT lang, count(*) AS records, count(DISTINCT (source, segment)) AS segments, count(DISTINCT source) AS sessions, avg(score) AS mean_score
+   FROM srec WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY GROUPING SETS ((lang), ())) s LEFT JOIN (
+  SELECT lang, """ + ", ".join(f"max(v) FILTER (WHERE list='{c}') AS {c}" for c in [*_LISTS, *_OTHERS]) + """ FROM (SELECT lang, list, string_agg(value || ' (' || CAST(n AS VARCHAR) || ')', ' | ' ORDER BY r) AS v FROM (
+   SELECT *, row_number() OVER (PARTITION BY lang, list ORDER BY n DESC, value) AS r FROM (SELECT lang, list, value, count(*) AS n FROM shit GROUP BY GROUPING SETS ((lang, list, value), (list, value)))) WHERE r<=12 GROUP BY 1,2) GROUP BY 1) w
+  ON s.lang IS NOT DISTINCT FROM w.lang""", "shit")
+def _(t):
+    records = sem.semantic_record(semantic_texts(t), "said").filter("source is not null")
+    return sem.semantic_lists(records, "lang", "source", "segment", "score", "labels", _LISTS, _OTHERS)
+
+
 @query("A44_interface_inventory", "path:s event_type:s rows:i sessions:i segments:i",
        "SELECT path, event_type, count(*) AS rows, count(DISTINCT session_id) AS sessions, count(DISTINCT (session_id, segment_index)) AS segments FROM asg GROUP BY 1,2", "asg")
 def _(t):

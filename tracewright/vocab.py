@@ -197,6 +197,29 @@ CASE_RULES = (
     (r"leave application|leave|休暇申請", "LEAVE_APPLICATION"),
     (r"tax|税", "TAX_RELATED"),
 )
+INSTRUCTION_RULES = (
+    (r"入力|enter|input|記入|fill", "ENTER_OR_FILL"),
+    (r"確認|check|review|verify", "REVIEW_OR_VERIFY"),
+    (r"選択|select|choose", "SELECT"),
+    (r"保存|save", "SAVE"),
+    (r"提出|submit", "SUBMIT"),
+    (r"登録|register", "REGISTER"),
+)
+FIELD_RULES = (
+    (r"employee\s*id|社員\s*id|社員番号", "EMPLOYEE_ID"),
+    (r"氏名|employee name|name|full name", "EMPLOYEE_NAME"),
+    (r"区分|category", "CATEGORY"),
+    (r"金額|amount", "AMOUNT"),
+    (r"種別|type", "TYPE"),
+    (r"ステータス|status", "STATUS"),
+    (r"処理コメント|processing comments?", "PROCESSING_COMMENT"),
+    (r"変更種別|change type", "CHANGE_TYPE"),
+    (r"遡及|retroactive", "RETROACTIVE_FLAG"),
+)
+OBJECT_RULES = (
+    (r"employee|社員|従業員|給与|payroll|経費|expense", "EMPLOYEE_RECORD"),
+    (r"申請|application|request", "EMPLOYEE_APPLICATION_OR_REQUEST"),
+)
 FIELD_ALIASES = {
     "employee_id": ("employee_id", "employeeid", "employee id", "社員番号", "社員id"),
     "employee_name": ("employee_name", "employee name", "氏名", "社員名"),
