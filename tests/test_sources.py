@@ -155,3 +155,22 @@ def test_json_walk_equals_variants(spark, monkeypatch):
         monkeypatch.setattr(vr, "LEVELS", levels)
         got = all_rows()
         assert got == want
+
+
+def test_audit_of_chunks(spark):
+    events = spark.createDataFrame([("a", 1, "x", "L0"), ("a", 2, "x", None), ("b", 12, "y", "L1"), ("d", 50, "x", "L0")], "chunk string, us long, kind string, layer string")
+    m = [("a", "s", None, "b", 2, {"x": 2}, {"L0": 1, "": 1}, 0, 5, 1, False), ("b", "s", "a", "c", 1, {"y": 1, "z": 1}, {"L1": 1}, 12, 20, 0, True),
+         ("c", "s", None, None, 0, {}, {}, 21, 22, 0, False), ("e", "t", "a", None, 0, None, {}, 0, 1, 2, False)]
+    manifests = spark.createDataFrame(m, "chunk string, session string, previous_chunk string, next_chunk string, total_events long, kinds map<string,long>, layers map<string,long>, "
+                                         "start_ts long, end_ts long, screenshots long, has_gaps boolean")
+    shots = spark.createDataFrame([("a", "1.png"), ("e", "2.png")], "chunk string, path string")
+    maps = {"kind": "kinds", "layer": "layers"}
+    got = {r["chunk"]: r.asDict() for r in nv.audit_chunks(events, manifests, shots, "chunk", "session", "us", maps, 6).collect()}
+    assert got["a"]["chunk_ok"] and got["a"]["gap_before"] is None
+    b = got["b"]
+    assert (b["count_ok"], b["kind_ok"], b["layer_ok"], b["previous_ok"], b["next_ok"], b["gap_before"], b["gaps_ok"]) == (True, False, True, True, False, 7, True)
+    assert got["c"]["previous_ok"] and got["c"]["gap_before"] == 1 and got["c"]["chunk_ok"]
+    assert not got["d"]["manifest_present"] and not got["d"]["count_ok"] and not got["d"]["chunk_ok"]
+    e = got["e"]
+    assert (e["kind_ok"], e["layer_ok"], e["screenshots_ok"], e["previous_ok"]) == (False, True, False, False)
+    assert rows(nv.count_differences(events, manifests, "chunk", maps)) == [("b", "kind", "z", 0, 1), ("d", "kind", "x", 1, 0), ("d", "layer", "L0", 1, 0)]

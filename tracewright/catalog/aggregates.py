@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright import vocab
@@ -129,6 +130,54 @@ def _(t):
     return nv.sessions_passing(_reconciled(t), "session_id")
 
 
+_CHUNK_CHECKS = ["count_ok", "range_ok", "screenshots_ok", "previous_ok", "next_ok", "gaps_ok", "event_type_ok", "layer_ok"]
+
+
+def _audit_tables(t: Tables):
+    """Weekly chunks as in ``_reconciled``; manifests with layers, screenshots, links and gaps, each check broken for some sizes."""
+    week, k = F.expr("us div 604800000000"), F.col("k")
+    sid = F.col("session_id").cast("string")
+    events = t.events.withColumn("w", week).withColumn("chunk", F.concat_ws("-", sid, F.col("w").cast("string"))).withColumn("layer", F.concat(F.lit("L"), (k % 3).cast("string")))
+
+    def counted(col, name):
+        n = events.groupBy("chunk", col).agg(F.count(F.lit(1)).alias("n"))
+        return n.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct(col, "n"))).alias(name))
+
+    m = (events.groupBy("chunk", "session_id", "w").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("start_ts"), F.max("us").alias("hi"), F.count_if(k % 4 == 0).alias("shots"))
+         .join(counted("event_type", "types"), "chunk").join(counted("layer", "layers"), "chunk"))
+    order = Window.partitionBy("session_id").orderBy("w")
+    last, ghost = F.col("n") % 10, F.create_map(F.lit("ghost"), F.lit(1).cast("long"))
+    end = F.when(last == 4, F.col("hi") - 1).otherwise(F.col("hi"))
+    m = (m.withColumn("end_ts", end).withColumn("before", F.when(F.lag("w").over(order) == F.col("w") - 1, F.lag("chunk").over(order)))
+         .withColumn("after", F.when(F.lead("w").over(order) == F.col("w") + 1, F.lead("chunk").over(order)))
+         .withColumn("gap", F.coalesce(F.col("start_ts") - F.max("end_ts").over(order.rowsBetween(Window.unboundedPreceding, -1)) > 48 * HOUR, F.lit(False))))
+    return events, m.select(
+        "chunk", "session_id", F.when(last == 5, "nowhere").otherwise(F.col("before")).alias("previous_chunk"), F.when(last != 8, F.col("after")).alias("next_chunk"),
+        F.when(last == 3, F.col("n") + 1).otherwise(F.col("n")).alias("total_events"), F.when(last == 2, F.map_concat("types", ghost)).otherwise(F.col("types")).alias("events_by_type"),
+        F.when(last == 6, F.map_concat("layers", ghost)).otherwise(F.col("layers")).alias("events_by_layer"), "start_ts", "end_ts",
+        F.when(last == 7, F.col("shots") + 1).otherwise(F.col("shots")).alias("screenshots"), (F.col("gap") != (last == 9)).alias("has_gaps"))
+
+
+_MAPS = {"event_type": "events_by_type", "layer": "events_by_layer"}
+CTES["chk"] = ("ev", f"""SELECT *, coalesce(gap_before>{48 * HOUR}, false) AS gap FROM (SELECT *, lag(n) OVER o AS pn, lag(w) OVER o AS pw, lead(n) OVER o AS nn, lead(w) OVER o AS nw,
+   lo-max(hi-CASE WHEN n%10=4 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap_before
+  FROM (SELECT session_id, us//604800000000 AS w, count(*) AS n, min(us) AS lo, max(us) AS hi FROM ev GROUP BY 1,2) WINDOW o AS (PARTITION BY session_id ORDER BY w))""")
+
+
+@query("A30_audit_chunks", "chunk:s session_id:i manifest_present:b gap_before:i " + " ".join(f"{c}:b" for c in _CHUNK_CHECKS) + " chunk_ok:b",
+       "SELECT *, " + " AND ".join(_CHUNK_CHECKS) + """ AS chunk_ok FROM (SELECT CAST(session_id AS VARCHAR) || '-' || CAST(w AS VARCHAR) AS chunk, session_id, true AS manifest_present, gap_before, n%10<>3 AS count_ok, n%10<>4 AS range_ok,
+  n%10<>7 AS screenshots_ok, n%10<>5 AND (coalesce(pw<>w-1, true) OR pn%10<>8) AS previous_ok, n%10=8 OR coalesce(nw<>w+1, true) OR nn%10<>5 AS next_ok, n%10<>9 AS gaps_ok, n%10<>2 AS event_type_ok, n%10<>6 AS layer_ok FROM chk)""", "chk")
+def _(t):
+    events, manifests = _audit_tables(t)
+    return nv.audit_chunks(events, manifests, events.filter("k % 4 = 0"), "chunk", "session_id", "us", _MAPS, 48 * HOUR)
+
+
+@query("A30_count_differences", "chunk:s dimension:s value:s actual:i declared:i",
+       """SELECT CAST(session_id AS VARCHAR) || '-' || CAST(w AS VARCHAR) AS chunk, CASE n%10 WHEN 2 THEN 'event_type' ELSE 'layer' END AS dimension, 'ghost' AS value, 0 AS actual, 1 AS declared FROM chk WHERE n%10 IN (2, 6)""", "chk")
+def _(t):
+    return nv.count_differences(*_audit_tables(t), "chunk", _MAPS)
+
+
 @query("A31_field_coverage", "event_type:s rows:i field:s coverage:d",
        " UNION ALL ".join(f"SELECT event_type, count(*) AS rows, '{c}' AS field, avg(CASE WHEN coalesce({c},'')<>'' THEN 1.0 ELSE 0.0 END) AS coverage FROM ev GROUP BY 1" for c in ("app", "window_title", "url", "path")), "ev")
 def _(t):

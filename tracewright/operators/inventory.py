@@ -87,6 +87,61 @@ def reconcile_manifest(events: DataFrame, manifests: DataFrame, chunk: str, sess
                  & F.col("previous_ok") & F.col("next_ok"))
 
 
+def count_differences(events: DataFrame, manifests: DataFrame, chunk: str, maps: Mapping[str, str]) -> DataFrame:
+    """(chunk, dimension, value, actual, declared) where the counts of a chunk's events differ from its manifest.
+
+    ``maps`` names event columns and the manifest's map of counts for each; all of them are compared in one
+    grouping and one join.  A value that one side lacks counts 0; null values count as ''.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in maps]))
+    actual = events.select(chunk, each.alias("_d")).groupBy(chunk, "_d.dimension", "_d.value").agg(F.count(F.lit(1)).alias("actual"))
+    entries = F.concat(*[F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,long>"))), _entry(c)) for c, m in maps.items()])
+    declared = manifests.select(chunk, F.explode(entries).alias("_d")).groupBy(chunk, "_d.dimension", "_d.value").agg(F.sum("_d.n").alias("declared"))
+    both = actual.join(declared, [chunk, "dimension", "value"], "full_outer").na.fill(0, ["actual", "declared"])
+    return both.filter(F.col("actual") != F.col("declared"))
+
+
+def _entry(dimension: str):
+    return lambda e: F.struct(F.lit(dimension).alias("dimension"), F.coalesce(e["key"], F.lit("")).alias("value"), e["value"].cast("long").alias("n"))
+
+
+def audit_chunks(events: DataFrame, manifests: DataFrame, screenshots: DataFrame, chunk: str, session: str, ts: str, maps: Mapping[str, str], max_gap: int) -> DataFrame:
+    """Every chunk against its manifest, all checks (A30); one row for each chunk of either side.
+
+    ``manifests`` has chunk, session, previous_chunk, next_chunk, total_events, the maps of counts, start_ts,
+    end_ts, screenshots and has_gaps; ``screenshots`` one row for each file found, with its chunk.  Checks:
+    number of events, counts by each map, events inside the declared span, screenshot files, links (the chunk
+    named is of the same session and names this one back) and gaps (a step of over ``max_gap`` from the
+    declared spans before in the session is declared, and nothing else is).
+    """
+    actual = events.groupBy(chunk).agg(F.count(F.lit(1)).alias("actual_events"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    differ = count_differences(events, manifests, chunk, maps).groupBy(chunk).agg(F.collect_set("dimension").alias("_differ"))
+    files = screenshots.groupBy(chunk).agg(F.count(F.lit(1)).alias("_files"))
+    earlier = Window.partitionBy(session).orderBy("start_ts", chunk).rowsBetween(Window.unboundedPreceding, -1)
+    known = manifests.withColumn("gap_before", F.col("start_ts") - F.max("end_ts").over(earlier))
+    named = manifests.select(F.col(session).alias("_s"), F.col(chunk).alias("_c"), F.col("previous_chunk").alias("_back"), F.col("next_chunk").alias("_on"))
+
+    def linked(rows, link, answer, name):
+        other = named.select(F.col("_s").alias(f"_s_{name}"), F.col("_c").alias(f"_c_{name}"), F.col(answer).alias(f"_a_{name}"))
+        found = rows.join(other, F.col(session).eqNullSafe(F.col(f"_s_{name}")) & (F.col(link) == F.col(f"_c_{name}")), "left")
+        ok = F.col(link).isNull() | F.coalesce(F.col(f"_a_{name}") == F.col(chunk), F.lit(False))
+        return found.withColumn(name, ok).drop(f"_s_{name}", f"_c_{name}", f"_a_{name}")
+
+    known = linked(linked(known, "previous_chunk", "_on", "previous_ok"), "next_chunk", "_back", "next_ok")
+    rows = known.join(actual, chunk, "full_outer").join(differ, chunk, "left").join(files, chunk, "left")
+    present, no = F.col("total_events").isNotNull(), F.lit(False)
+    checks = {"count_ok": F.col("total_events") == F.coalesce("actual_events", F.lit(0)),
+              "range_ok": F.col("_lo").isNull() | ((F.col("_lo") >= F.col("start_ts")) & (F.col("_hi") <= F.col("end_ts"))),
+              "screenshots_ok": F.col("screenshots") == F.coalesce("_files", F.lit(0)), "previous_ok": F.col("previous_ok"), "next_ok": F.col("next_ok"),
+              "gaps_ok": F.coalesce(F.col("gap_before") > max_gap, no) == F.col("has_gaps"),
+              **{f"{c}_ok": F.col(m).isNotNull() & ~F.coalesce(F.array_contains("_differ", c), no) for c, m in maps.items()}}
+    out = rows.select(chunk, session, present.alias("manifest_present"), "gap_before", *[(present & F.coalesce(c, no)).alias(n) for n, c in checks.items()])
+    every = F.lit(True)
+    for n in checks:
+        every = every & F.col(n)
+    return out.withColumn("chunk_ok", every)
+
+
 def sessions_passing(chunks: DataFrame, session: str) -> DataFrame:
     """A session passes when all of its chunks do."""
     return chunks.groupBy(session).agg(F.count(F.lit(1)).alias("chunks"), F.every("chunk_ok").alias("passed"))
