@@ -134,3 +134,27 @@ def test_pipeline_of_nothing(spark, tmp_path):
     source.filter("false").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_license_rows_without_an_id_of_their_own(spark):
+    """Rows that share an id, or have none, keep their own matches; the words looked for first lose no match."""
+    texts = ["Released under the MIT License.", "Licensed under the ISC License."]
+    docs = spark.createDataFrame([(i, t) for i in (None, 7) for t in texts] + [(8, "no notice here"), (9, "x\n" + texts[0] + "\n" + texts[1])], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["place"], r["license"]) for r in licenses.scan(docs).collect())
+    assert got == [(0, 0, "ISC"), (0, 0, "MIT"), (7, 0, "ISC"), (7, 0, "MIT"), (9, 1, "MIT"), (9, 2, "ISC")]
+
+
+def test_every_match_holds_a_marker():
+    import random
+    import re
+    rng = random.Random(5)
+    words = licenses.markers(licenses.TEMPLATES, 0.8)
+    for texts in licenses.TEMPLATES.values():
+        for text in texts:
+            own = re.findall("[a-z0-9]+", text.lower())
+            grams = set(zip(own, own[1:]))
+            for _ in range(200):
+                some = [w for w in own if rng.random() > 0.12] + rng.sample(["foo", "bar", "the", "of"], rng.randint(0, 2))
+                mine = set(zip(some, some[1:]))
+                if mine and 2 * len(mine & grams) / (len(mine) + len(grams)) >= 0.8:
+                    assert any(m in " ".join(some) for m in words)

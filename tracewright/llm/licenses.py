@@ -4,12 +4,15 @@ Only DataFrame functions.  Texts are normalised (A-Z lower-cased, all but letter
 and every line, every paragraph of several lines and every text of several paragraphs is a passage.
 Two sets can reach a Dice coefficient t only if their sizes differ by a factor of at most (2 - t) / t;
 so each template is listed under the sizes it can match, and an equi join on the size of a passage
-finds its candidates.  Templates are few and go to every task; documents are not shuffled.
+finds its candidates.  A passage that matches shares so many bigrams with a template that it holds one of a
+few words of it: texts and passages without any such word are left out before bigrams are made, which loses
+no match.  Templates are few and go to every task; documents are not shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +69,28 @@ def bigrams(passage: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def markers(templates: Mapping[str, tuple[str, ...]], least: float) -> list[str]:
+    """Words of which every passage with a Dice coefficient of ``least`` or more holds one.
+
+    Of a template's g bigrams such a passage shares at least g * least / (2 - least), since it has no
+    fewer bigrams than it shares.  So of its words, longest first, as many are taken as it needs for their
+    bigrams to be more than a passage can lack.
+    """
+    out: set[str] = set()
+    for texts in templates.values():
+        for text in texts:
+            found = re.findall("[a-z0-9]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+            grams = set(zip(found, found[1:]))
+            may_lack = len(grams) - math.ceil(len(grams) * least / (2 - least) - 1e-9)
+            chosen: set[str] = set()
+            for word in sorted(set(found), key=lambda w: (-len(w), w)):
+                if sum(1 for a, b in grams if a in chosen or b in chosen) > may_lack:
+                    break
+                chosen.add(word)
+            out |= chosen
+    return sorted(w for w in out if not any(v != w and v in w for v in out))  # a word that holds another one is found with it
+
+
 def template_table(spark: SparkSession, templates: Mapping[str, tuple[str, ...]], least: float) -> DataFrame:
     """(size, license, template, grams): a template once under every passage size it can match."""
     flat = [(name, k, text) for name, texts in templates.items() for k, text in enumerate(texts)]
@@ -84,11 +109,19 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float =
 
     ``part`` is line, paragraph or text; ``place`` counts from 0 within the document.  Of equal
     coefficients the first licence by name and its first template win.  Null and empty texts and
-    passages of one word match nothing; repeated rows give one match; ids may be null; other columns
-    are neither needed nor returned.
+    passages of one word match nothing.  Every row is a document of its own, also those that repeat an id
+    or have none; other columns are neither needed nor returned.
     """
     table = F.broadcast(template_table(docs.sparkSession, templates, least))
-    plain = docs.select(F.col(id).alias("id"), normalised(F.col(text)).alias("t"))
+
+    def marked(value):
+        hit = F.lit(False)
+        for word in markers(templates, least):
+            hit = hit | F.contains(value, F.lit(word))
+        return hit
+
+    likely = docs.select(F.col(id).alias("id"), F.col(text).alias("body")).filter(marked(F.lower("body")))
+    plain = likely.select(F.monotonically_increasing_id().alias("row"), "id", normalised(F.col("body")).alias("t"))
     paragraphs = F.split("t", "\n *\n[ \n]*")
 
     def passages(kind, pieces):
@@ -96,11 +129,11 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float =
 
     several = F.filter(passages("paragraph", paragraphs), lambda p: F.contains(p["passage"], F.lit("\n")))
     whole = F.when(F.size(paragraphs) > 1, passages("text", F.array("t"))).otherwise(passages("text", F.array().cast("array<string>")))
-    parts = plain.filter("t is not null").select("id", F.explode(F.concat(passages("line", F.split("t", "\n")), several, whole)).alias("p"))
-    sized = parts.select("id", "p.part", "p.place", bigrams(F.col("p.passage")).alias("own")).withColumn("size", F.size("own"))
+    parts = plain.select("row", "id", F.explode(F.concat(passages("line", F.split("t", "\n")), several, whole)).alias("p")).filter(marked(F.col("p.passage")))
+    sized = parts.select("row", "id", "p.part", "p.place", bigrams(F.col("p.passage")).alias("own")).withColumn("size", F.size("own"))
     dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.col("size") + F.size("grams"))
-    found = sized.join(table, "size").select("id", "part", "place", "license", "template", dice.alias("dice")).filter(F.col("dice") >= least)
-    best = found.groupBy("id", "part", "place").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license", "template")).alias("b"))
+    found = sized.join(table, "size").select("row", "id", "part", "place", "license", "template", dice.alias("dice")).filter(F.col("dice") >= least)
+    best = found.groupBy("row", "id", "part", "place").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license", "template")).alias("b"))
     return best.select(F.col("id").alias(id), "part", "place", "b.license", "b.template", (-F.col("b.d")).alias("dice"))
 
 
@@ -115,16 +148,16 @@ def scan_sql(least: float = 0.8) -> str:
     words = "string_split(trim(regexp_replace({0}, '[ \\n]+', ' ', 'g'), ' '), ' ')"
     return f"""WITH t AS (SELECT license, template, {words.format(norm.format('text'))} AS w
   FROM (VALUES {flat}) AS v(license, template, text)),
- d AS (SELECT doc_id, {norm.format('text')} AS t FROM documents WHERE text IS NOT NULL),
- para AS (SELECT doc_id, t, regexp_split_to_array(t, '\\n *\\n[ \\n]*') AS ps FROM d),
- p AS (SELECT doc_id, 'line' AS part, unnest(range(len(string_split(t, chr(10))))) AS place, unnest(string_split(t, chr(10))) AS passage FROM d
-  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph' AS part, unnest(range(len(ps))) AS place, unnest(ps) AS passage FROM para)
+ d AS (SELECT row_number() OVER () AS row, doc_id, {norm.format('text')} AS t FROM documents WHERE text IS NOT NULL),
+ para AS (SELECT row, doc_id, t, regexp_split_to_array(t, '\\n *\\n[ \\n]*') AS ps FROM d),
+ p AS (SELECT row, doc_id, 'line' AS part, unnest(range(len(string_split(t, chr(10))))) AS place, unnest(string_split(t, chr(10))) AS passage FROM d
+  UNION ALL SELECT * FROM (SELECT row, doc_id, 'paragraph' AS part, unnest(range(len(ps))) AS place, unnest(ps) AS passage FROM para)
    WHERE contains(passage, chr(10))
-  UNION ALL SELECT doc_id, 'text', 0, t FROM para WHERE len(ps) > 1),
- pw AS (SELECT doc_id, part, place, {words.format('passage')} AS w FROM p),
- pg AS (SELECT doc_id, part, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM pw),
+  UNION ALL SELECT row, doc_id, 'text', 0, t FROM para WHERE len(ps) > 1),
+ pw AS (SELECT row, doc_id, part, place, {words.format('passage')} AS w FROM p),
+ pg AS (SELECT row, doc_id, part, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM pw),
  tg AS (SELECT license, template, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS h FROM t),
- m AS (SELECT doc_id, part, place, license, template, 2.0 * len(list_intersect(g, h)) / (len(g) + len(h)) AS dice
+ m AS (SELECT row, doc_id, part, place, license, template, 2.0 * len(list_intersect(g, h)) / (len(g) + len(h)) AS dice
   FROM pg JOIN tg ON len(g) BETWEEN len(h) / 3.0 AND len(h) * 3.0)
  SELECT doc_id, part, place, license, CAST(template AS INTEGER) AS template, CAST(dice AS DOUBLE) AS dice FROM m WHERE dice >= {least}
- QUALIFY row_number() OVER (PARTITION BY doc_id, part, place ORDER BY dice DESC, license, template) = 1"""
+ QUALIFY row_number() OVER (PARTITION BY row, part, place ORDER BY dice DESC, license, template) = 1"""
