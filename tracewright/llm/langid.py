@@ -24,10 +24,23 @@ UNKNOWN = "und"
 LONGEST = 12      # characters of a piece; longer pieces of the vocabulary are not used
 UNSEEN = 1e-7     # probability of a character that is no piece
 REMEMBERED = 300_000
+STRETCH = 24      # letters of a word learned from at once; a longer word is learned from in stretches
+HELD = 128 << 20  # bytes of lattices kept between rounds of learning; the rest are made again
 _WORD = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letters(text: str) -> list[str]:
+    """Maximal runs of letters (Unicode category L), lower-cased."""
+    out = []
+    for word in _WORD.findall(text.lower()):
+        if word.isalpha():
+            out.append(word)
+        else:  # numerals such as a half are taken for word characters, but are no letters
+            out += "".join(c if c.isalpha() else " " for c in word).split()
+    return out
+
+
 class Pieces:
     """The usable pieces of a SentencePiece file, found by a hash of their characters."""
 
@@ -67,19 +80,21 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def forward(grid: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward table [place, word, language] and the log of the scales [word, language]."""
+    """Scaled probability of whole words [word, language] and the log of the scales; only the last places are held."""
     words, n, most = grid.shape
-    table = np.zeros((n + 1, words, prob.shape[1]))
-    table[0] = 1
+    recent = [np.ones((words, prob.shape[1]))]
     scale = np.zeros((words, prob.shape[1]))
     for end in range(1, n + 1):
+        now = np.zeros((words, prob.shape[1]))
         for size in range(1, min(end, most) + 1):
-            table[end] += table[end - size] * prob[grid[:, end - size, size - 1]]
+            now += recent[-size] * prob[grid[:, end - size, size - 1]]
+        recent.append(now)
+        del recent[:-most]
         if end % 8 == 0 and end < n:  # long words must not underflow
-            factor = np.maximum(table[end], 1e-300)
-            table[max(0, end - most): end + 1] /= factor
+            factor = np.maximum(now, 1e-300)
+            recent = [r / factor for r in recent]
             scale += np.log(factor)
-    return table, scale
+    return recent[-1], scale
 
 
 @dataclass(frozen=True)
@@ -99,33 +114,43 @@ class LanguageModel:
             step = max(1, 300_000 // (n * min(n, LONGEST)))
             for at in range(0, len(group), step):
                 part = group[at: at + step]
-                table, scale = forward(pieces.lattice(["▁" + words[i] for i in part]), self.prob)
-                out[part] = np.log(np.maximum(table[-1], 1e-300)) + scale
+                last, scale = forward(pieces.lattice(["▁" + words[i] for i in part]), self.prob)
+                out[part] = np.log(np.maximum(last, 1e-300)) + scale
         return out
 
 
 def learn(texts: list[tuple[str, str]], file: bytes, rounds: int = 5, smoothing: float = 0.01) -> LanguageModel:
-    """Fit the piece probabilities of every language among (text, language) pairs."""
+    """Fit the piece probabilities of every language among (text, language) pairs.
+
+    A word longer than ``STRETCH`` letters, as in languages written without spaces, is learned from in stretches.
+    """
     pieces = Pieces(file)
     counts: dict[str, Counter] = {}
     for text, language in texts:
-        counts.setdefault(language, Counter()).update(_WORD.findall(text.lower()))
+        mine = counts.setdefault(language, Counter())
+        for word in letters(text):
+            mine["▁" + word[:STRETCH]] += 1
+            for at in range(STRETCH, len(word), STRETCH):
+                mine[word[at: at + STRETCH]] += 1
     languages = tuple(sorted(k for k, c in counts.items() if c))
     prob = np.zeros((pieces.size + 2, len(languages)))
     for k, language in enumerate(languages):
         p = np.full((pieces.size + 2, 1), 1.0 / pieces.size)
         p[-2:, 0] = 0, UNSEEN
-        grids: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[str]] = {}
         for word in counts[language]:
-            if len(word) <= 24:
-                by_size.setdefault(len(word), []).append(word)
-        for n, group in by_size.items():
-            grids[n] = pieces.lattice(["▁" + w for w in group]), np.array([counts[language][w] for w in group], float)
+            by_size.setdefault(len(word), []).append(word)
+        blocks, held = [], 0
+        for group in by_size.values():
+            for at in range(0, len(group), 20_000):
+                block = group[at: at + 20_000]
+                grid = pieces.lattice(block) if held < HELD else None
+                held += grid.nbytes if grid is not None else 0
+                blocks.append((block, grid, np.array([counts[language][w] for w in block], float)))
         for _ in range(rounds):
             expected = np.zeros(pieces.size + 2)
-            for grid, weight in grids.values():
-                _expect(grid, weight, p, expected)
+            for block, grid, weight in blocks:
+                _expect(pieces.lattice(block) if grid is None else grid, weight, p, expected)
             known = expected[:-2] + smoothing
             p[:-2, 0] = known / known.sum()
         prob[:, k] = p[:, 0]
@@ -188,7 +213,7 @@ class Scorer:
         self.scores = np.empty((0, len(self.model.languages)))
 
     def texts(self, texts: list[str | None]) -> pa.StructArray:
-        rows = [_WORD.findall(t.lower()) if t and self.model.languages else [] for t in texts]
+        rows = [letters(t) if t and self.model.languages else [] for t in texts]
         if len(self.row) > REMEMBERED:
             self.forget()
         new = list({w for row in rows for w in row} - self.row.keys())
