@@ -229,17 +229,18 @@ def _(t):
     return pf.operator_counts(t.events, "app", "operator")
 
 
-@query("A55_timeline_digest", "session_id:i segment_index:i events:i apps:l types:l domains:l urls:l timeline:s",
-       """SELECT session_id, segment_index, events, apps, types, domains, urls, timeline FROM (SELECT session_id, segment_index, count(*) AS events FROM asg GROUP BY 1,2)
+@query("A55_timeline_digest", "session_id:i segment_index:i events:i apps:l types:l domains:l urls:l titles:l timeline:s",
+       """SELECT session_id, segment_index, events, apps, types, domains, urls, titles, timeline FROM (SELECT session_id, segment_index, count(*) AS events FROM asg GROUP BY 1,2)
   LEFT JOIN (SELECT session_id, segment_index, list(app ORDER BY m, app) AS apps FROM (SELECT session_id, segment_index, app, min(us) AS m FROM asg WHERE app IS NOT NULL GROUP BY 1,2,3) GROUP BY 1,2) USING (session_id, segment_index)
   LEFT JOIN (SELECT session_id, segment_index, list(event_type ORDER BY m, event_type) AS types FROM (SELECT session_id, segment_index, event_type, min(us) AS m FROM asg GROUP BY 1,2,3) GROUP BY 1,2) USING (session_id, segment_index)
   LEFT JOIN (SELECT session_id, segment_index, list(dm ORDER BY m, dm) AS domains FROM (SELECT session_id, segment_index, regexp_replace(regexp_extract(url,'//([^/:]*)',1),'^www\\.','') AS dm, min(us) AS m FROM asg WHERE url IS NOT NULL GROUP BY 1,2,3) GROUP BY 1,2) USING (session_id, segment_index)
-  LEFT JOIN (SELECT session_id, segment_index, list(url ORDER BY m, url)[1:3] AS urls FROM (SELECT session_id, segment_index, url, min(us) AS m FROM asg WHERE url IS NOT NULL GROUP BY 1,2,3) GROUP BY 1,2) USING (session_id, segment_index)
+  LEFT JOIN (SELECT session_id, segment_index, list(url ORDER BY m, url)[1:10] AS urls FROM (SELECT session_id, segment_index, url, min(us) AS m FROM asg WHERE url IS NOT NULL GROUP BY 1,2,3) GROUP BY 1,2) USING (session_id, segment_index)
+  LEFT JOIN (SELECT session_id, segment_index, list(window_title ORDER BY m, window_title)[1:10] AS titles FROM (SELECT session_id, segment_index, window_title, min(us) AS m FROM asg WHERE window_title IS NOT NULL GROUP BY 1,2,3) GROUP BY 1,2) USING (session_id, segment_index)
   LEFT JOIN (SELECT session_id, segment_index, string_agg(event_type || coalesce(' | ' || app,''), chr(10) ORDER BY r) AS timeline FROM (SELECT *, row_number() OVER (PARTITION BY session_id, segment_index ORDER BY us, event_id) AS r
-   FROM asg WHERE event_type<>'keystroke') WHERE r<=5 GROUP BY 1,2) USING (session_id, segment_index)""".replace("\\\\", "\\"), "asg")
+   FROM asg WHERE event_type<>'keystroke') WHERE r<=40 GROUP BY 1,2) USING (session_id, segment_index)""".replace("\\\\", "\\"), "asg")
 def _(t):
     e = t.assigned().withColumn("domain", tx.url_domain("url"))
-    return pf.timeline_digest(e, SEG, "us", "event_id", "domain", "url", max_urls=3, max_lines=5)
+    return pf.timeline_digest(e, SEG, "us", "event_id", "domain", "url", texts={"titles": ("window_title", 10)})
 
 
 @query("A53_run_summary", "metric:s value:d4",

@@ -318,9 +318,12 @@ def crosstab(df: DataFrame, a: str, b: str, values: Sequence[str] | None = None)
 
 
 def timeline_digest(events: DataFrame, key, ts: str, event_id: str, domain: str, url: str,
-                    max_urls: int = 10, max_lines: int = 40,
-                    priority: Sequence[str] = vocab.HIGH_INFORMATION_EVENTS) -> DataFrame:
-    """Ordered digest of a segment: apps, types, domains, first urls, priority lines."""
+                    max_urls: int = 10, max_lines: int = 40, priority: Sequence[str] = vocab.HIGH_INFORMATION_EVENTS,
+                    texts: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """Ordered digest of a segment: apps, types, domains, first urls, priority lines.
+
+    ``texts`` names further columns of distinct values in order of appearance, each by its source and limit.
+    """
     key = as_list(key)
     w = Window.partitionBy(*key).orderBy(ts, event_id)
     lines = (events.filter(F.col("event_type").isin(*priority)).withColumn("_r", F.row_number().over(w))
@@ -330,7 +333,7 @@ def timeline_digest(events: DataFrame, key, ts: str, event_id: str, domain: str,
                  lambda x: x["l"]), "\n").alias("timeline")))
     out = events.groupBy(*key).agg(F.count(F.lit(1)).alias("events"))
     for value, limit, name in (("app", None, "apps"), ("event_type", None, "types"), (domain, None, "domains"),
-                               (url, max_urls, "urls")):
+                               (url, max_urls, "urls"), *((col, n, name) for name, (col, n) in (texts or {}).items())):
         out = out.join(ordered_distinct(events, key, ts, value, limit, name), key, "left")
     return out.join(lines, key, "left")
 
