@@ -158,3 +158,21 @@ def test_every_match_holds_a_marker():
                 mine = set(zip(some, some[1:]))
                 if mine and 2 * len(mine & grams) / (len(mine) + len(grams)) >= 0.8:
                     assert any(m in " ".join(some) for m in words)
+
+
+def test_license_short_words_are_looked_for_in_pairs(spark):
+    """Words such as "by" are parts of very many texts; a notice that holds only such pairs is found all the same."""
+    words = licenses.markers(licenses.TEMPLATES, 0.8)
+    assert all(" " in w or len(w) >= licenses.SHORT for w in words)
+    short = {"X": ("a cc by sa 4 0 of it",)}
+    docs = spark.createDataFrame([(1, "abyss by cc"), (2, "x\nA  CC-BY\tSA 4.0, of it!"), (3, "a cc by\nsa 4 0 of it"), (4, None), (5, "AKccby sa 40")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["part"], r["dice"]) for r in licenses.scan(docs, templates=short).collect())
+    # document 2 as a paragraph has one bigram more than the template's seven
+    assert got == [(2, "line", 1.0), (2, "paragraph", 14 / 15), (3, "paragraph", 1.0)]
+
+
+def test_license_filter_lowers_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "Licensed under the ISC License.")], "doc_id long, text string")
+    likely = docs.filter(licenses.marked(F.col("text"), licenses.markers(licenses.TEMPLATES, 0.8)))
+    plan = likely._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1 and likely.count() == 1
