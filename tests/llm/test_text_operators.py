@@ -186,3 +186,32 @@ def test_lm_packing():
     for values in (np.array([], np.uint64), np.array([0, 1, 2 ** 63, 2 ** 64 - 1], np.uint64)):
         assert (lm.unpack(lm.pack(values), np.uint64) == values).all()
     assert pa.types.is_list(bpe.list_array(np.array([1, 2], np.int32), [2, 0], pa.int32()).type)
+
+
+def test_toxicity_model_is_small():
+    """Each worker gets the model, so it holds the n-grams learned and not the whole hashed table."""
+    import pickle
+    model = toxicity.learn([(f"you idiot number {k}", 1) for k in range(9)] + [(f"a mild day number {k}", 0) for k in range(30)], 0.2)
+    assert len(pickle.dumps(model)) < 1 << 16
+    table = np.zeros(1 << toxicity.TABLE_BITS, np.float32)
+    table[model.rows] = model.margin
+    words = ["idiot", "idiots", "day", "unheard"]
+    rows, counts = toxicity.grams(words)
+    assert model.words(words).tolist() == toxicity._means(table[rows], counts).tolist() and model.words(words)[0] > 0
+    assert toxicity.learn([("only one class", 0)], 0.2).words(words).tolist() == [0.0] * 4
+
+
+def test_memory_goes_back_between_operators():
+    """What one operator kept in a worker process, and the room it took, is released when the next one starts."""
+    import gc
+    import psutil
+    from tracewright.llm.common import kept
+    def size():
+        return psutil.Process().memory_info().rss / 1e6
+    start = size()
+    kept(("first",), lambda: [np.zeros(6_000) + k for k in range(3_000)])
+    pins = [bytearray(48_000) for _ in range(2)]
+    most = size()
+    kept(None)
+    gc.collect()
+    assert most - start > 100 and size() - start < 30 and pins

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import kept, list_array, small_batches, tokenizer_file, uncollected
+from tracewright.llm.common import kept, list_array, small_batches, tokenizer_file, trimmed, uncollected
 
 SHORT = 64          # pieces up to so many bytes share a matrix of trees
 REMEMBERED = 600_000  # distinct pieces kept between the batches of a task
@@ -327,6 +327,7 @@ def encoded(text: Column, file: bytes, pattern: str | None) -> Column:
             with uncollected():
                 ids = encoder.texts(batch.to_pylist())
             yield ids
+        trimmed()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<int>")(text)
@@ -339,6 +340,8 @@ def decoded(ids: Column, file: bytes) -> Column:
         tokens = _token_bytes(file)
         for batch in batches:
             yield pa.array([b"".join([tokens[i] for i in row or ()]) for row in batch.to_pylist()], pa.binary())
+        del tokens
+        trimmed()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "binary")(ids)

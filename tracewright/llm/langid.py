@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import fresh, kept, small_batches, tokenizer_file, uncollected
+from tracewright.llm.common import fresh, kept, small_batches, tokenizer_file, trimmed, uncollected
 
 UNKNOWN = "und"
 LONGEST = 12      # characters of a piece; longer pieces of the vocabulary are not used
@@ -242,6 +242,7 @@ def predicted(text: Column, model: LanguageModel) -> Column:
             with uncollected():
                 found = scorer.texts(batch.to_pylist())
             yield found
+        trimmed()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "lang string, score double")(text)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import fresh, kept, small_batches
+from tracewright.llm.common import fresh, kept, small_batches, trimmed
 
 GRAMS = (3, 4, 5, 6)
 TABLE_BITS = 22
@@ -57,16 +57,21 @@ def _means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """``margin``: difference of the two class scores for each table row; ``slope`` and ``shift`` turn a
-    text's largest window margin into a probability; ``empty``: probability of a text without words."""
+    """``margin``: difference of the two class scores for the table rows ``rows`` (ascending), 0 for all others;
+    ``slope`` and ``shift`` turn a text's largest window margin into a probability; ``empty``: probability of a
+    text without words.  Only the rows learned are held, as every worker has the model."""
+    rows: np.ndarray
     margin: np.ndarray
     slope: float
     shift: float
     empty: float
 
     def words(self, words: list[str]) -> np.ndarray:
-        rows, counts = grams(words)
-        return _means(self.margin[rows], counts)
+        found, counts = grams(words)
+        if not len(self.rows):
+            return np.zeros(len(words))
+        at = np.minimum(np.searchsorted(self.rows, found), len(self.rows) - 1)
+        return _means(np.where(self.rows[at] == found, self.margin[at], np.float32(0)), counts)
 
     def probability(self, top: np.ndarray) -> np.ndarray:
         z = np.clip(self.slope * top + self.shift, -40, 40)
@@ -93,7 +98,7 @@ def learn(texts: list[tuple[str, int]], prior: float = 0.1, dims: int = 4, steps
     labels = np.array([y for (_, y), b in zip(texts, bags) if b])
     bags = [b for b in bags if b]
     if len(set(labels.tolist())) < 2:
-        return ToxicityModel(np.zeros(1 << TABLE_BITS, np.float32), 0.0, float(np.log(prior / (1 - prior))), prior)
+        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, float(np.log(prior / (1 - prior))), prior)
     number: dict[str, int] = {}
     tokens = [np.array([number.setdefault(w, len(number)) for w in b], np.int32) for b in bags]
     rows, per_word = grams(list(number))
@@ -149,11 +154,9 @@ def learn(texts: list[tuple[str, int]], prior: float = 0.1, dims: int = 4, steps
         best = np.full(len(bags), -np.inf)
         np.maximum.at(best, of_text, of_window)
         active = (target == 0) | (of_window >= best[of_text])
-    by_row = np.zeros(1 << TABLE_BITS, np.float32)
-    by_row[kept] = by_feature
     top = np.array([top_window(margin[t]) for t in tokens])
     slope, shift = _logistic(top, labels, prior)
-    return ToxicityModel(by_row, slope, shift, prior)
+    return ToxicityModel(kept.astype(np.int32), by_feature.astype(np.float32), slope, shift, prior)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
@@ -200,7 +203,10 @@ def scored(text: Column, model: ToxicityModel) -> Column:
             number: dict[str, int] = {}
             at = [np.array([number.setdefault(w, len(number)) for w in row], np.int64) for row in rows]
             value = model.words(list(number)) if number else np.zeros(0)
-            yield pa.array(model.probability(np.array([top_window(value[i]) for i in at])), pa.float64())
+            found = pa.array(model.probability(np.array([top_window(value[i]) for i in at])), pa.float64())
+            del rows, number, at, value
+            yield found
+        trimmed()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "double")(text)
