@@ -89,6 +89,53 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_of_one_large_group(spark, monkeypatch):
+    """Texts that are alike at 0.5 to 0.95: the exact rest in blocks of 32 sets, or of 1,000 shingles, finds every link."""
+    monkeypatch.setattr(neardup, "SMALL", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "REST", 32)
+    monkeypatch.setattr(neardup, "REST_SHINGLES", 1000)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(90)]
+    data = [(i, " ".join(edited(base, rng.choice((0.02, 0.03, 0.05, 0.08)), rng))) for i in range(150)]
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=4).collect()
+    want = brute_classes(data, 4)
+    assert 10 < len({c for _, c in want.values()}) < 140
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_sets_outside_the_largest_part_meet_few_blocks(spark, monkeypatch):
+    """A group of texts that are alike and not linked: blocks of the rest hold each set a few times, not once for 256 others."""
+    rows_of = {}
+    plain = neardup._by_block
+
+    def counted(rows, columns, work):
+        if work is neardup._involved:
+            rows_of["involved"] = rows.count()
+        return plain(rows, columns, work)
+
+    monkeypatch.setattr(neardup, "_by_block", counted)
+    rng = random.Random(10)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(edited(base, 0.05, rng))) for i in range(1500)]
+    assert neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), shingle=4).count() == 1500
+    assert rows_of["involved"] <= 16 * 1500
+
+
+def test_shared_shingles_are_counted_exactly():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(1000, 1400, rng.integers(0, 60)), rng.integers(0, 1 << 60, 5)])).astype(np.uint64) for _ in range(150)]
+    sets[7] = sets[3]
+    for first, both in neardup.shared(sets):
+        for k, row in enumerate(both):
+            i = first + k
+            assert np.delete(row, i).tolist() == [len(np.intersect1d(sets[i], x)) for j, x in enumerate(sets) if j != i]
+    near = np.array([x[:4].view(np.uint8).repeat(4) for x in sets])
+    part = rng.integers(0, 40, 150)
+    agree = (near[:, None] == near[None]).mean(2)
+    assert neardup.crossing(near, part).tolist() == ((agree >= neardup.LIKELY) & (part[:, None] != part)).any(1).tolist()
+
+
 def test_near_duplicates_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (2, "A b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()), key=str)

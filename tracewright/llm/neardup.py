@@ -10,8 +10,11 @@ are much alike (branching would not part them), is compared exhaustively, in blo
 Comparison in a block is by minwise tokens; it names a spanning forest of likely links instead of all
 pairs.  Links are confirmed on the full sets.  A node larger than a block is first compared chunk by
 chunk, then by one set for each part found.  What is left is exact: where a forest link failed or a node
-had several chunks, every set outside the node's largest part is compared with all its sets, and each
-likely pair of sets of different parts is decided on the full sets, until no such pair is left.
+had several chunks, every set outside the node's largest part meets all its sets, in large blocks.  Sets
+with a likely link to another part bring their full sets, on which all pairs of the block are decided at
+once by counting shared shingles.
+
+Blocks get the lowest byte of each token only; whole tokens go with the sets of large nodes, for branching.
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import kept, small_batches, uncollected, words
 from tracewright.llm.components import components
 from tracewright.llm.vectors import by_group
-from tracewright.session import staging_path
+from tracewright.session import release, staged
 
 TOKENS, TREES, BRANCHES = 128, 4, 2
 SMALL = 96          # sets in a node compared at once
 BLOCK = 256         # sets of one side of a block of a large, dense node
 DENSE, DEEPEST = 0.5, 8
+REST, REST_SHINGLES = 2048, 1 << 20  # sets, and shingles, of one side of a block of the exact rest
+STRIP = 64          # sets of a block compared with all at a time
 LIKELY = 0.62       # agreeing share of minwise tokens; five deviations below similarity 0.8
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(7)
@@ -85,8 +90,14 @@ def children(node: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def _planes(tokens: np.ndarray) -> bytes:
+    """The lowest bytes of all tokens, then the next ones: the first ``TOKENS`` bytes are enough to tell likely links."""
+    return tokens.view(np.uint8).reshape(TOKENS, 4).T.tobytes()
+
+
 def _token_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
+    planes = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4, TOKENS)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32)[:, :, 0]
 
 
 def described(text: Column, size: int) -> Column:
@@ -108,7 +119,7 @@ def described(text: Column, size: int) -> Column:
             yield pa.StructArray.from_arrays([
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([t.tobytes() if t is not None else None for t in tokens], pa.binary()),
+                pa.array([_planes(t) if t is not None else None for t in tokens], pa.binary()),
                 pa.array(roots, pa.list_(pa.int64()))], ["n", "digest", "tokens", "roots"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -128,10 +139,11 @@ def _branched(key: Column, tokens: Column) -> Column:
 def _met(sets: DataFrame) -> DataFrame:
     """(key, size, node): the nodes of all trees whose sets are compared; ``sets`` has node, tokens, roots."""
     rows = sets.select("node", F.explode("roots").alias("key"))
-    found = []
+    wide, found, used = sets.select("node", "tokens"), [], []
     for depth in range(DEEPEST + 1):
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = _staged(rows.join(sizes, "key").select("key", "size", "node"), "sized")
+        sized = staged(rows.join(sizes, "key").select("key", "size", "node"), "sized")
+        used.append(sized)
         found.append(sized.filter(F.col("size") <= SMALL))
         large = sized.filter(F.col("size") > SMALL)
         if large.isEmpty():
@@ -139,19 +151,26 @@ def _met(sets: DataFrame) -> DataFrame:
         if depth == DEEPEST:
             found.append(large)
             break
-        grown = (large.join(sets.select("node", "tokens"), "node")
+        # tokens of the sets that are still in large nodes, out of those of the level before
+        wide = staged(wide.join(large.select("node").distinct(), "node", "left_semi"), "wide")
+        grown = (large.join(wide, "node")
                  .select("key", "size", "node", F.posexplode(_branched(F.col("key"), F.col("tokens"))).alias("branch", "child")))
-        grown = _staged(grown, "grown")
+        grown = staged(grown, "grown")
         # the share of pairs of a node that meet again estimates how alike its sets are
         alike = (grown.groupBy("key", "size", "branch", "child").agg(F.count("*").alias("n"))
                  .groupBy("key").agg((F.sum(F.col("n") * F.col("n")) / (F.first("size") * F.first("size") * F.lit(float(BRANCHES)))).alias("alike")))
-        dense = _staged(alike.filter(F.col("alike") >= DENSE).select("key"), "dense")
+        dense = staged(alike.filter(F.col("alike") >= DENSE).select("key"), "dense")
+        used += [wide, grown, dense]
         found.append(large.join(dense, "key", "left_semi"))
         rows = grown.join(dense, "key", "left_anti").select("node", F.col("child").alias("key"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return _once_each(_staged(out, "met"), "key")
+    met = staged(out, "met")
+    release(*used)
+    once = staged(_once_each(met, "key"), "nodes")
+    release(met)
+    return once
 
 
 def _once_each(rows: DataFrame, key: str) -> DataFrame:
@@ -168,12 +187,6 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("size") <= BLOCK, F.col("key")).otherwise(F.xxhash64("key", chunk)).alias("block"), "key", "node")
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def forest(tokens: np.ndarray) -> list[tuple[int, int]]:
     """Spanning forest of largest agreement over the likely links among the rows (Prim)."""
     n = len(tokens)
@@ -191,12 +204,46 @@ def forest(tokens: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def crossing(tokens: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row the later rows of other parts that are likely links."""
-    for i in range(len(tokens) - 1):
-        likely = ((tokens[i + 1:] == tokens[i]).mean(1) >= LIKELY) & (part[i + 1:] != part[i])
-        if likely.any():
-            yield i, i + 1 + np.flatnonzero(likely)
+def crossing(tokens: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which rows have a likely link to a row of another part."""
+    n, some = len(tokens), np.zeros(len(tokens), bool)
+    by_token = np.ascontiguousarray(tokens.T)
+    for at in range(0, n, STRIP):
+        agree = np.zeros((min(STRIP, n - at), n - at), np.uint8)
+        for row in by_token:
+            agree += row[at: at + STRIP, None] == row[at:]
+        likely = (agree >= LIKELY * TOKENS) & (part[at: at + STRIP, None] != part[at:])
+        some[at: at + STRIP] |= likely.any(1)
+        some[at:] |= likely.any(0)
+    return some
+
+
+def shared(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, counts): how many shingles each set of a strip has in common with every other set.
+
+    Shingles that many sets hold are counted by a product of matrices, the others set by set.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count >= max(2, n // 8)
+    held = often[column]
+    dense = np.zeros((n, int(often.sum())), np.float32)
+    dense[owner[held], (np.cumsum(often) - 1)[column[held]]] = 1
+    rare = (count > 1)[column] & ~held
+    at = np.searchsorted(owner[rare], np.arange(n + 1))
+    column = column[rare]
+    holders = owner[rare][np.argsort(column, kind="stable")]
+    count = np.bincount(column, minlength=len(count))
+    start = np.cumsum(count) - count
+    for first in range(0, n, STRIP):
+        both = (dense[first: first + STRIP] @ dense.T).astype(np.int64)
+        for k in range(len(both)):
+            mine = column[at[first + k]: at[first + k + 1]]
+            if len(mine):
+                many = count[mine]
+                both[k] += np.bincount(holders[np.repeat(start[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=n)
+        yield first, both
 
 
 def _forests(block, rows):
@@ -208,28 +255,24 @@ def _forests(block, rows):
 
 def _involved(block, rows):
     """The sets of a block that have a likely link to another part: rows (node, tokens, part)."""
-    part, node = np.array([r[2] for r in rows]), [r[0] for r in rows]
-    some = {k for i, others in crossing(_stack(rows), part) for k in (i, *others.tolist())}
-    return _links(block, [(node[k], int(part[k])) for k in sorted(some)])
+    part = np.array([r[2] for r in rows])
+    return _links(block, [(rows[k][0], rows[k][2]) for k in np.flatnonzero(crossing(_stack(rows), part))])
 
 
 def _decided(percent: int):
     def work(block, rows):
-        """Links between parts, on full sets, until the likely pairs left are inside a part: rows (node, tokens, part, set)."""
-        tokens, node, up, pairs = _stack(rows), [r[0] for r in rows], {}, []
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-
-        def root(x):
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
-        for i, others in crossing(tokens, np.array([r[2] for r in rows])):
-            for j in others.tolist():
-                a, b = root(rows[i][2]), root(rows[j][2])
-                if a != b and similar(sets[i], sets[j], percent):
-                    up[max(a, b)] = min(a, b)
+        """Links between parts that join all sets of a block that are linked: rows (node, part, set)."""
+        node, part = [r[0] for r in rows], np.array([r[1] for r in rows])
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        size, pairs = np.array([len(x) for x in sets]), []
+        for first, both in shared(sets):
+            linked = 100 * both >= percent * (size[first: first + len(both), None] + size - both)
+            for i, row in enumerate(linked, first):
+                others = np.flatnonzero(row & (part != part[i]))
+                found, at = np.unique(part[others], return_index=True)
+                for other, j in zip(found.tolist(), others[at].tolist()):
                     pairs.append((min(node[i], node[j]), max(node[i], node[j])))
+                    part[part == other] = part[i]
         return _links(block, pairs)
 
     return work
@@ -244,7 +287,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _stack(rows) -> np.ndarray:
-    return np.frombuffer(b"".join(r[1] for r in rows), np.uint32).reshape(-1, TOKENS)
+    return np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, TOKENS)
 
 
 def _links(block, pairs):
@@ -283,14 +326,19 @@ def _agrees(a: Column, b: Column, percent: int) -> Column:
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, set) of the rows whose ids are among ``nodes``."""
-    some = rows.join(nodes, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "t"])
+    # never by a broadcast: the ids grow with the table, and a plan that turns with size is not the one measured
+    some = rows.join(nodes.hint("merge"), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "t"])
     return some.select(F.col("id").alias("node"), _full_set(F.col("t"), size).alias("set"))
 
 
-def _with_sets(full: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``full`` with the sets of more nodes."""
-    more = _staged(nodes.join(full.select("node"), "node", "left_anti"), "more")
-    return full if more.isEmpty() else full.unionByName(_staged(_sets_of(rows, more, size), "full"))
+def _with_sets(full: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, used: list[DataFrame]) -> DataFrame:
+    """``full`` with the sets of more nodes; tables staged for it are added to ``used``."""
+    more = staged(nodes.join(full.select("node"), "node", "left_anti"), "more")
+    used.append(more)
+    if more.isEmpty():
+        return full
+    used.append(staged(_sets_of(rows, more, size), "full"))
+    return full.unionByName(used[-1])
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -317,48 +365,58 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
-    told = _staged(rows.select("id", described(F.col("t"), shingle).alias("d")).select("id", "d.*"), "described")
+    told = staged(rows.select("id", described(F.col("t"), shingle).alias("d")).select("id", "d.*"), "described")
     some = told.filter("id is not null and tokens is not null")
     # equal sets are one node, named by the smallest id; their tokens are equal
-    sets = _staged(some.groupBy("digest").agg(F.min("id").alias("node"), F.first("tokens").alias("tokens"), F.first("roots").alias("roots")), "sets")
-    tokens = sets.select("node", "tokens")
-    met = _staged(_met(sets), "nodes")
+    sets = staged(some.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"),
+                                               F.first("tokens").alias("tokens"), F.first("roots").alias("roots")), "sets")
+    tokens = sets.select("node", F.substring("tokens", 1, TOKENS).alias("tokens"))
+    met = _met(sets)
     blocks = _dealt(met)
-    likely = _staged(_by_block(blocks.join(tokens, "node"), ["node", "tokens"], _forests), "likely")
-    full = _staged(_sets_of(rows, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "full")
-    links = _staged(_confirmed(likely.select("a", "b").distinct(), full, percent), "links")
+    likely = staged(_by_block(blocks.join(tokens, "node"), ["node", "tokens"], _forests), "likely")
+    full = staged(_sets_of(rows, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "full")
+    links = staged(_confirmed(likely.select("a", "b").distinct(), full, percent), "links")
+    used = [met, likely, full, links]
     part = components(links, "a", "b")
     # large nodes: one set of each part found in the chunks, compared again
     large = met.filter(F.col("size") > BLOCK)
     firsts = _with_part(large, part).groupBy("key", "part").agg(F.min("node").alias("node"))
     several = firsts.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    between = _staged(_by_block(_dealt(firsts.join(several, "key")).join(tokens, "node"), ["node", "tokens"], _forests).select("a", "b").distinct(), "between")
+    between = staged(_by_block(_dealt(firsts.join(several, "key")).join(tokens, "node"), ["node", "tokens"], _forests).select("a", "b").distinct(), "between")
+    used.append(between)
     if not between.isEmpty():
-        full = _with_sets(full, rows, between.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
-        links = _staged(links.unionByName(_confirmed(between, full, percent)), "links")
+        full = _with_sets(full, rows, between.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle, used)
+        links = staged(links.unionByName(_confirmed(between, full, percent)), "links")
+        used.append(links)
         part = components(links, "a", "b")
     # the exact rest: nodes of several chunks, and those where a forest link failed
     failed = likely.join(links, ["a", "b"], "left_anti").select("block").distinct()
     open_keys = blocks.join(failed, "block", "left_semi").select("key").unionByName(large.select("key")).distinct()
-    parted = _staged(_with_part(met.join(open_keys, "key", "left_semi"), part), "parted")
-    by_part = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
-    main = by_part.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("n").alias("all"))
+    parted = staged(_with_part(met.join(open_keys, "key", "left_semi"), part).join(sets.select("node", "n"), "node"), "parted")
+    used.append(parted)
+    by_part = parted.groupBy("key", "part").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    largest = F.struct("sets", "part")
+    main = by_part.groupBy("key").agg(
+        F.max_by("part", largest).alias("main"), (F.sum("sets") - F.max("sets")).alias("rest"), F.sum("sets").alias("all"),
+        (F.sum("n") - F.max_by("n", largest)).alias("rest_n"), F.sum("n").alias("all_n"))
     parted = parted.join(main.filter("rest > 0"), "key")
     # every set outside the largest part, by chunks, with all sets of the node, by chunks
-    rests, alls = F.ceil(F.col("rest") / F.lit(BLOCK)), F.ceil(F.col("all") / F.lit(BLOCK))
+    rests, alls = (F.ceil(F.greatest(F.col(x) / F.lit(REST), F.col(f"{x}_n") / F.lit(REST_SHINGLES))) for x in ("rest", "all"))
     hashed, zero = F.xxhash64("node", "key"), F.lit(0).cast("long")
     pairs_of_chunks = F.transform(F.sequence(zero, rests - 1), lambda i: F.xxhash64("key", i, F.pmod(hashed, alls)))
     own = F.transform(F.sequence(zero, alls - 1), lambda j: F.xxhash64("key", F.pmod(hashed, rests), j))
     where = F.when(F.col("part") == F.col("main"), pairs_of_chunks).otherwise(F.array_distinct(F.concat(pairs_of_chunks, own)))
     rest = parted.select(F.explode(where).alias("block"), "node", "part")
-    involved = _staged(_by_block(rest.join(tokens, "node"), ["node", "tokens", "part"], _involved)
-                       .select("block", F.col("a").alias("node"), F.col("b").alias("part")), "involved")
+    involved = staged(_by_block(rest.join(tokens, "node"), ["node", "tokens", "part"], _involved)
+                      .select("block", F.col("a").alias("node"), F.col("b").alias("part")), "involved")
+    used.append(involved)
     if not involved.isEmpty():
-        involved = _once_each(involved, "block")
-        full = _with_sets(full, rows, involved.select("node").distinct(), shingle)
-        decided = _by_block(involved.join(tokens, "node").join(full, "node"), ["node", "tokens", "part", "set"], _decided(percent))
+        once = _once_each(involved, "block")
+        full = _with_sets(full, rows, involved.select("node").distinct(), shingle, used)
+        decided = _by_block(once.join(full, "node"), ["node", "part", "set"], _decided(percent))
         links = links.unionByName(decided.select("a", "b").distinct())
-    found = components(links, "a", "b")
+    found = components(links, "a", "b")  # a checkpoint: it reads none of the tables before
+    release(*used)
     # an id whose several texts were sets of their own is one document
     classes = sets.select("node", "digest").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = told.join(classes, "digest", "left")
