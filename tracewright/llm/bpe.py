@@ -339,7 +339,8 @@ def decoded(ids: Column, file: bytes) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = _token_bytes(file)
         for batch in batches:
-            yield pa.array([b"".join([tokens[i] for i in row or ()]) for row in batch.to_pylist()], pa.binary())
+            # the ids of one row at a time, as a batch of Python integers takes nine times its bytes
+            yield pa.array([b"".join([tokens[i] for i in row.as_py() or ()]) for row in batch], pa.binary())
         del tokens
         trimmed()
 

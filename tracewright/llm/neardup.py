@@ -151,8 +151,9 @@ def _met(sets: DataFrame) -> DataFrame:
         if depth == DEEPEST:
             found.append(large)
             break
-        # tokens of the sets that are still in large nodes, out of those of the level before
-        wide = staged(wide.join(large.select("node").distinct(), "node", "left_semi"), "wide")
+        if depth == 0:  # tokens of the sets in large nodes only
+            wide = staged(wide.join(large.select("node").distinct(), "node", "left_semi"), "wide")
+            used.append(wide)
         grown = (large.join(wide, "node")
                  .select("key", "size", "node", F.posexplode(_branched(F.col("key"), F.col("tokens"))).alias("branch", "child")))
         grown = staged(grown, "grown")
@@ -160,7 +161,7 @@ def _met(sets: DataFrame) -> DataFrame:
         alike = (grown.groupBy("key", "size", "branch", "child").agg(F.count("*").alias("n"))
                  .groupBy("key").agg((F.sum(F.col("n") * F.col("n")) / (F.first("size") * F.first("size") * F.lit(float(BRANCHES)))).alias("alike")))
         dense = staged(alike.filter(F.col("alike") >= DENSE).select("key"), "dense")
-        used += [wide, grown, dense]
+        used += [grown, dense]
         found.append(large.join(dense, "key", "left_semi"))
         rows = grown.join(dense, "key", "left_anti").select("node", F.col("child").alias("key"))
     out = found[0]
@@ -326,8 +327,7 @@ def _agrees(a: Column, b: Column, percent: int) -> Column:
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, set) of the rows whose ids are among ``nodes``."""
-    # never by a broadcast: the ids grow with the table, and a plan that turns with size is not the one measured
-    some = rows.join(nodes.hint("merge"), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "t"])
+    some = rows.join(nodes, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "t"])
     return some.select(F.col("id").alias("node"), _full_set(F.col("t"), size).alias("set"))
 
 
@@ -374,7 +374,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     met = _met(sets)
     blocks = _dealt(met)
     likely = staged(_by_block(blocks.join(tokens, "node"), ["node", "tokens"], _forests), "likely")
-    full = staged(_sets_of(rows, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "full")
+    # no broadcast here: these ids grow with the table; sets asked for later are few as a rule
+    paired = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge")
+    full = staged(_sets_of(rows, paired, shingle), "full")
     links = staged(_confirmed(likely.select("a", "b").distinct(), full, percent), "links")
     used = [met, likely, full, links]
     part = components(links, "a", "b")
