@@ -215,3 +215,22 @@ def test_memory_goes_back_between_operators():
     kept(None)
     gc.collect()
     assert most - start > 100 and size() - start < 30 and pins
+
+
+def test_scoring_holds_no_batch_of_words(monkeypatch):
+    """A batch of 1,000 texts takes a few times its bytes, not the strings of all its words or the n-grams of all its distinct ones."""
+    import tracemalloc
+    model = toxicity.learn([(f"you idiot number {k}", 1) for k in range(9)] + [(f"a mild day number {k}", 0) for k in range(30)], 0.2)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"idiot{n} day" for n in rng.integers(0, 1 << 40, 150).tolist()) for _ in range(1000)] + [None, "", "--"]
+    monkeypatch.setattr(F, "arrow_udf", lambda run, kind: lambda column: run)
+    worker = toxicity.scored(None, model)
+    tracemalloc.start()
+    got = next(worker(iter([pa.array(texts)]))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    for i in (0, 7, 999):
+        top = toxicity.top_window(model.words(toxicity._WORD.findall(texts[i].lower())))
+        assert got[i] == model.probability(np.array([top]))[0]
+    assert got[1000:] == [0.2] * 3

@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -213,20 +214,20 @@ class Scorer:
         self.scores = np.empty((0, len(self.model.languages)))
 
     def texts(self, texts: list[str | None]) -> pa.StructArray:
-        rows = [letters(t) if t and self.model.languages else [] for t in texts]
         if len(self.row) > REMEMBERED:
             self.forget()
-        new = list({w for row in rows for w in row} - self.row.keys())
+        # of a text's words only their rows are held
+        rows = [np.array([self.row.setdefault(w, len(self.row)) for w in letters(t)] if t and self.model.languages else [], np.int32) for t in texts]
+        new = list(islice(self.row, len(self.scores), None))
         if new:
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
             self.scores = np.concatenate([self.scores, self.model.word_scores(self.pieces, new)])
         lang, score = [], []
         for row in rows:
-            if not row:
+            if not len(row):
                 lang.append(UNKNOWN)
                 score.append(0.0)
                 continue
-            total = self.scores[[self.row[w] for w in row]].sum(0)
+            total = self.scores[row].sum(0)
             share = np.exp(total - total.max())
             lang.append(self.model.languages[int(total.argmax())])
             score.append(float(share.max() / share.sum()))

@@ -25,6 +25,7 @@ from tracewright.llm.common import fresh, kept, small_batches, trimmed
 GRAMS = (3, 4, 5, 6)
 TABLE_BITS = 22
 WINDOW = 2       # words averaged together
+AT_ONCE = 1 << 16  # characters of words whose n-grams are looked up at once
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,12 +68,26 @@ class ToxicityModel:
     empty: float
 
     def words(self, words: list[str]) -> np.ndarray:
-        found, counts = grams(words)
+        """Mean margin of each word's n-grams; in parts, as n-grams take many times the bytes of their words."""
         if not len(self.rows):
             return np.zeros(len(words))
+        part = np.cumsum(list(map(len, words))) // AT_ONCE
+        ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+        return np.concatenate([self._part(words[start:end]) for start, end in zip([0, *ends], ends)])
+
+    def _part(self, words: list[str]) -> np.ndarray:
+        found, counts = grams(words)
         at = np.minimum(np.searchsorted(self.rows, found), len(self.rows) - 1)
         return _means(np.where(self.rows[at] == found, self.margin[at], np.float32(0)), counts)
 
+    def texts(self, texts: list[str | None]) -> np.ndarray:
+        """Largest window margin of each text, nan without words.  Of a text's words only numbers are held,
+        each word once for all texts."""
+        number: dict[str, int] = {}
+        at = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())] if t else [], np.int32) for t in texts]
+        value = self.words(list(number)) if number else np.zeros(0)
+        return np.array([top_window(value[i]) for i in at])
+
     def probability(self, top: np.ndarray) -> np.ndarray:
         z = np.clip(self.slope * top + self.shift, -40, 40)
         return np.where(np.isnan(top), self.empty, 1 / (1 + np.exp(-z)))
@@ -199,13 +214,7 @@ def scored(text: Column, model: ToxicityModel) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept(None)
         for batch in batches:
-            rows = [_WORD.findall(t.lower()) if t else [] for t in batch.to_pylist()]
-            number: dict[str, int] = {}
-            at = [np.array([number.setdefault(w, len(number)) for w in row], np.int64) for row in rows]
-            value = model.words(list(number)) if number else np.zeros(0)
-            found = pa.array(model.probability(np.array([top_window(value[i]) for i in at])), pa.float64())
-            del rows, number, at, value
-            yield found
+            yield pa.array(model.probability(model.texts(batch.to_pylist())), pa.float64())
         trimmed()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
