@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,48 @@ def test_search_goes_to_the_end_of_a_chain(spark):
     queries = spark.createDataFrame([(0, x[0].tobytes(), 0.0)], "node long, small binary, slack double")
     found = ann.search(queries, edges, spark.createDataFrame(lists, "u long, nodes array<long>, vectors array<binary>"), 5, np.float32)
     assert [r["b"] for r in found.orderBy("rank").limit(5).collect()] == [40, 39, 38, 37, 36]
+
+
+@pytest.mark.parametrize("at_once", [4, 1 << 16])
+def test_local_join_sends_the_best_of_a_block(monkeypatch, at_once):
+    """A block gets each vector once and sends at most DEGREE pairs of a node, the best that its nodes' neighbourhoods hold."""
+    monkeypatch.setattr(ann, "AT_ONCE", at_once)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 8)).astype(np.float32)
+    ids, worst = 1000 - 3 * np.arange(120), np.where(np.arange(120) % 5, -np.inf, 1.5)
+    near = [rng.choice(120, 45, replace=False) for _ in range(40)]
+    news = [rng.random(45) < 0.6 for _ in near]
+    rows = [(7, 0, int(ids[i]), x[i].tobytes(), float(worst[i]), None, None) for i in rng.permutation(120)]
+    rows += [(7, 1, u, None, None, ids[v].tolist(), new.tolist()) for u, (v, new) in enumerate(zip(near, news))]
+    rows += [(9, 0, 5, x[0].tobytes(), -np.inf, None, None), (9, 1, 5, None, None, [5], [True])]
+    kinds = pa.schema([("block", pa.int64()), ("own", pa.int32()), ("node", pa.int64()), ("small", pa.binary()), ("worst", pa.float64()),
+                       ("nodes", pa.list_(pa.int64())), ("news", pa.list_(pa.bool_()))])
+    batches = pa.Table.from_pylist([dict(zip(kinds.names, r)) for r in rows], kinds).to_batches(max_chunksize=23)
+    got = defaultdict(dict)
+    for batch in ann._local_join(np.float32)(iter(batches)):
+        for r in batch.to_pylist():
+            assert r["b"] not in got[r["a"]]
+            got[r["a"]][r["b"]] = r["score"]
+    score = x.astype(float) @ x.astype(float).T
+    want = defaultdict(set)
+    for v, new in zip(near, news):
+        for i, j in ((i, j) for i in range(45) for j in range(45) if i != j and (new[i] or new[j])):
+            if score[v[i], v[j]] > worst[v[i]]:
+                want[v[i]].add(v[j])
+    assert set(got) == {int(ids[a]) for a in want}
+    for a, found in want.items():
+        best = sorted(found, key=lambda b: -score[a, b])[:ann.DEGREE]
+        assert set(got[int(ids[a])]) == {int(ids[b]) for b in best}
+        assert all(got[int(ids[a])][int(ids[b])] == pytest.approx(score[a, b]) for b in best)
+
+
+def test_search_expands_ids(spark):
+    """Lists without vectors: a search brings a query's vector to the nodes, not the vectors of every list to the query."""
+    x = np.zeros((41, 4), np.float32)
+    x[:, 0] = np.arange(1, 42)
+    lists = [(i, [j for j in (i - 1, i + 1) if 0 <= j < 41]) for i in range(41)]
+    nodes = spark.createDataFrame([(i, x[i].tobytes()) for i in range(41)], "node long, small binary")
+    edges = spark.createDataFrame([(0, 1, 2.0)], "a long, b long, score double")
+    queries = spark.createDataFrame([(0, x[0].tobytes(), 0.0)], "node long, small binary, slack double")
+    found = ann.search(queries, edges, spark.createDataFrame(lists, "u long, nodes array<long>"), 5, np.float32, nodes=nodes)
+    assert [(r["b"], r["score"]) for r in found.orderBy("rank").limit(3).collect()] == [(40, 41.0), (39, 40.0), (38, 39.0)]
