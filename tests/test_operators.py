@@ -116,3 +116,19 @@ def test_split_is_whole_and_proportional(spark):
     out = sp.split_by_key(df, "k")
     assert out.groupBy("k").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
     assert dict(rows(out.select("k", "split").distinct().groupBy("split").count())) == {"train": 70, "validation": 15, "test": 15}
+
+
+def test_rounds_of_select_spaced_do_not_double(spark, monkeypatch):
+    """Each round reads what the rounds before have chosen, not their plans."""
+    df = spark.createDataFrame([(k, t, t, "a", float(t), t % 3 == 0, False) for k in range(3) for t in range(30)],
+                               "k long, t long, item long, app string, score double, nt boolean, ne boolean")
+    joins, join = [], type(df).join
+
+    def spy(self, *args, **kwargs):
+        out = join(self, *args, **kwargs)
+        joins.append(out._jdf.queryExecution().analyzed().toString().count("Join "))
+        return out
+
+    monkeypatch.setattr(type(df), "join", spy)
+    assert sp.select_spaced(df, "k", "t", "item", "app", "score", "nt", "ne", k=5, spacing=5).count() == 15
+    assert len(joins) == 16 and max(joins) == 2

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.timeline import as_list, hash_bucket, rank_in_buckets
-from tracewright.session import cut_lineage
+from tracewright.session import release, staged
 
 
 def draw(id: str, seed: int) -> Column:
@@ -144,15 +144,16 @@ def select_spaced(cands: DataFrame, key, ts: str, item: str, app: str, score: st
 
     Near a transition first, then near an event, then at most ``per_app`` of one application,
     then the items nearest 15, 50 and 85 percent of the span.  Each round picks one item of
-    every segment with an aggregate that combines map-side, so no segment is ever gathered.
+    every segment with an aggregate that combines map-side, so no segment is ever gathered.  What is
+    chosen is written after each round: a round reads it twice, and plans of rounds on rounds would double.
     """
     key = as_list(key)
     cols = F.struct(F.col(ts).alias("ts"), F.col(item).alias("item"), F.col(app).alias("app"), F.col(score).alias("score"))
     tier = F.when(F.col(near_transition), 1).when(F.col(near_event), 2).otherwise(3)
-    base = cut_lineage(cands.select(*key, ts, item, app, score, tier.alias("_tier")))
+    base = staged(cands.select(*key, ts, item, app, score, tier.alias("_tier")), "items")
     span = base.groupBy(*key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     shape = "array<struct<ts:bigint,item:bigint,app:string,score:double,pass:int>>"
-    chosen = span.withColumn("_sel", F.array().cast(shape))
+    chosen = staged(span.withColumn("_sel", F.array().cast(shape)), "chosen")
 
     def open_rows():
         rows = base.join(chosen, key).filter(F.size("_sel") < k)
@@ -164,7 +165,8 @@ def select_spaced(cands: DataFrame, key, ts: str, item: str, app: str, score: st
                         F.col("_b.c.app").alias("app"), F.col("_b.c.score").cast("double").alias("score"),
                         pass_of.cast("int").alias("pass"))
         grown = F.when(F.col("_b").isNotNull(), F.concat("_sel", F.array(pick))).otherwise(F.col("_sel"))
-        chosen = chosen.join(best, key, "left").select(*key, "_lo", "_hi", grown.alias("_sel"))
+        last, chosen = chosen, staged(chosen.join(best, key, "left").select(*key, "_lo", "_hi", grown.alias("_sel")), "chosen")
+        release(last)
 
     same_app = F.size(F.filter("_sel", lambda s: s["app"].eqNullSafe(F.col(app))))
     for _ in range(k):
@@ -172,12 +174,12 @@ def select_spaced(cands: DataFrame, key, ts: str, item: str, app: str, score: st
         order = F.struct(F.col("_tier").alias("t"), (-F.col(score)).alias("s"), F.col(ts).alias("ts"),
                          F.col(item).alias("i"), cols.alias("c"))
         add(rows.groupBy(*key).agg(F.min(order).alias("_b")), F.col("_b.t"))
-    chosen = cut_lineage(chosen)
     for part in (0.15, 0.50, 0.85):
         target = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part
         order = F.struct(F.abs(F.col(ts) - target).alias("d"), (-F.col(score)).alias("s"), F.col(ts).alias("ts"),
                          F.col(item).alias("i"), cols.alias("c"))
         add(open_rows().groupBy(*key).agg(F.min(order).alias("_b")), F.lit(4))
+    release(base)
     ordered = F.array_sort("_sel")
     return (chosen.select(*key, F.posexplode(ordered).alias("_p", "_s"))
             .select(*key, (F.col("_p") + 1).alias("selection_order"), F.col("_s.ts").alias(ts), F.col("_s.item").alias(item),
